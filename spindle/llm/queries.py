@@ -17,6 +17,18 @@ def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_forest,)}
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import dedup_words
+
+    return dedup_words(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import dedup_bytes
+
+    return dedup_bytes(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_forest, op3_substring_dedup, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
