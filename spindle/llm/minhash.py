@@ -183,13 +183,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = scratch.keep(first.withColumn("p", prefix).join(shared, "p", "left_semi").select("k", "id", "comp"))
     scratch.drop(first)
     near_ids = crowded.select("id").distinct()
-    gathered = scratch.keep(src.where("id is not null").join(near_ids, "id", "left_semi"))
+    gathered = scratch.keep(src.where("id is not null").join(near_ids.hint("merge"), "id", "left_semi"))
     # A repeated id with several texts counts by the text whose class it stands for; one row of each is enough.
     gathered = gathered.groupBy("id").agg(F.first("text").alias("text")) if repeated(signed) else gathered
 
     def confirm(pairs: DataFrame) -> DataFrame:
         x, y = gathered.select(F.col("id").alias("a"), F.col("text").alias("ta")), gathered.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(confirmer(words, over), "a long, b long")
+        return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(confirmer(words, over), "a long, b long")
 
     few = crowded.where(F.conv(F.hex(F.substring("k", 1, 1)), 16, 10).cast("int") < FIRST)
     links = scratch.keep(confirm(candidates(scratch, few, 1)))
