@@ -45,6 +45,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_forest, op3_substring_dedup, op5_packing, op7_token_counts, op10_suffix_dedup)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    trained = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.score(docs, trained).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_forest, op3_substring_dedup, op5_packing, op7_token_counts, op9_toxicity, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
