@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -51,8 +52,10 @@ class Scratch:
 
     def sweep(self) -> None:
         """Collect dead plans on the driver: Spark deletes a shuffle's files once its plan is garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first round lets go of the Python side's handles
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
 
 
 class WordHash(dict):

@@ -111,7 +111,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes], prior: float) -> Model | None
         if size > TOXIC:
             break
         held.append(w)
-    share = max(50, ORDINARY // min(cut_o, 400))
+    share = 1500
     base = b" ".join(b" ".join(words(t))[:share] for t in ordinary[:400])[:ORDINARY]
     model = Model(b" ".join(held[::-1]), base, [], [], [])
     c = model.compressors()
