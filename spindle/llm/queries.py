@@ -55,6 +55,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, trained).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_forest, op3_substring_dedup, op5_packing, op7_token_counts, op9_toxicity, op10_suffix_dedup)}
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_forest, op3_substring_dedup, op5_packing, op6_html_extraction, op7_token_counts, op9_toxicity, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
