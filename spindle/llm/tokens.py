@@ -50,8 +50,6 @@ class Counts(dict):
 
     def learn(self, chunks: list[str]) -> None:
         """Count the pieces of new chunks, each distinct piece once."""
-        if len(self) > MOST:
-            self.clear()
         if len(self.pieces) > MOST:
             self.pieces.clear()
         cut = [BYTE_PIECES.findall(c) for c in chunks]
@@ -73,6 +71,8 @@ class Counts(dict):
             if "  " in t or " \n" in t or "\n " in t or "\t" in t or "\r" in t or t[:1].isspace() or t[-1:].isspace():
                 chunks = [t] if len(t) < 200 else BYTE_PIECES.findall(t)
             todo.append((k, Counter(chunks)))
+        if len(self) > MOST:
+            self.clear()
         new = list({c for _, f in todo for c in f if c not in self})
         self.learn(new)
         for k, f in todo:
