@@ -473,3 +473,22 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = src.join(repeated_runs(src.where("id is not null and text is not null"), BYTES, index), "id", "left")
     out = out.select("id", "text", "vs").mapInArrow(keeper(BYTES, False), "id long, n long, removed long, spans long, sha string")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+
+
+def strip_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Callable = by_hash) -> DataFrame:
+    """The rows of docs, all columns, their texts without what dedup_bytes removes. A character that is cut in part goes
+    whole. Nulls stay null, rows with a null id stay as they are."""
+    src = prepared(docs, id_col, text_col).where("id is not null and text is not null")
+    vs = repeated_runs(src, BYTES, index).select(F.col("id").alias("__spindle_id"), F.col("vs").alias("__spindle_vs"))
+    joined = docs.join(vs, F.col(id_col) == F.col("__spindle_id"), "left").drop("__spindle_id")
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = WordHash()
+        for b in batches:
+            new = [None if t is None else t.decode() if not vs else cut(t, vs, BYTES, False, seen)[2].decode("utf-8", "ignore") for t, vs in zip(texts(b.column(at)), b.column(len(names)).to_pylist(), strict=True)]
+            columns = list(b.columns[: len(names)])
+            columns[at] = pa.array(new, type=pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(run, docs.schema)

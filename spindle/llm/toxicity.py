@@ -178,3 +178,20 @@ def score(docs: DataFrame, trained: tuple[Model | None, float], id_col: str = "d
 def held_out(col) -> F.col:
     """Rows kept from training: crc32 of the id as text divides by 5."""
     return F.crc32(col.cast("string").cast("binary")) % 5 == 0
+
+
+def keep_clean(docs: DataFrame, trained: tuple[Model | None, float], text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that are not predicted toxic."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, prior = trained
+        c = model.compressors() if model else []
+        for b in batches:
+            if b.num_rows and model:
+                b = b.filter(pa.array(model.score(np.array([features(gains(t or b"", c)) for t in texts(b.column(at))])) < 0.5))
+            elif prior >= 0.5:
+                b = b.slice(0, 0)
+            yield b
+
+    return docs.mapInArrow(run, docs.schema)
