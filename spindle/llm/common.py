@@ -43,19 +43,26 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables of keep() that nothing will read again, and let Spark clean the shuffles of dead plans."""
+        """Delete tables of keep() that nothing will read again."""
         jvm = self.spark.sparkContext._jvm
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._spindle_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        self.sweep()
 
     def sweep(self) -> None:
-        """Collect dead plans on the driver: Spark deletes a shuffle's files once its plan is garbage."""
-        for _ in range(2):  # the first round lets go of the Python side's handles
+        """Collect dead plans on the driver: Spark deletes a shuffle's files once its plan is garbage. The first round
+        lets go of the Python side's handles; rounds go on while shuffles still disappear."""
+        known = self.spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+        held, idle = known.size(), 0
+        for _ in range(12):
             gc.collect()
             self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.2)
+            time.sleep(0.25)
+            now = known.size()
+            idle = idle + 1 if now >= held else 0
+            held = now
+            if not held or idle >= 3:
+                break
 
 
 class WordHash(dict):

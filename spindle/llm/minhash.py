@@ -184,6 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop(first)
     near_ids = crowded.select("id").distinct()
     gathered = scratch.keep(src.where("id is not null").join(near_ids.hint("merge"), "id", "left_semi"))
+    scratch.sweep()
     # A repeated id with several texts counts by the text whose class it stands for; one row of each is enough.
     gathered = gathered.groupBy("id").agg(F.first("text").alias("text")) if repeated(signed) else gathered
 
