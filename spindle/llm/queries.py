@@ -43,6 +43,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .warc import derivatives, responses
+
+    out = derivatives(responses(table(spark, sf_dir, "pages")))
+    return out.select(F.col("key").alias("page_id"), "kind", "record_id", "refers_to", "target_uri", "date", "source_payload_digest", "source_block_digest", "payload_digest", F.length("record").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("record_sha256"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,6 +82,6 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_forest, op2_embedding_dedup, op3_substring_dedup, op5_packing, op6_html_extraction, op7_token_counts, op8_decontamination, op9_toxicity, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_forest, op2_embedding_dedup, op3_substring_dedup, op4_warc_derivatives, op5_packing, op6_html_extraction, op7_token_counts, op8_decontamination, op9_toxicity, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
