@@ -28,3 +28,32 @@ def per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Acts by year of registration."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return orders.where("o_orderdate is not null").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("contracts"))
+
+
+def archive_query(sql: str | None = None):
+    """As query(), for a function of the archive's views; its SQL may name the views."""
+
+    def add(f):
+        from ..sources.archive import Archive, with_views
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Archive(spark, sf_dir))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+def load_all() -> None:
+    """Import the modules that register queries."""
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"spindle.plans.{name}")
+
+
+MODULES = ["library"]
