@@ -60,7 +60,7 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
         "lineitem",
         [
             ("investment_id", "l_orderkey * 10 + l_linenumber"),
-            ("contract_id", "CASE WHEN l_partkey % 300 = 7 THEN l_orderkey + 1 ELSE l_orderkey END"),
+            ("contract_id", "CASE WHEN l_partkey % 300 = 7 THEN l_orderkey + 1 WHEN l_partkey % 300 = 8 THEN -l_orderkey ELSE l_orderkey END"),
             ("type", "CASE WHEN l_linestatus = 'O' THEN 'gp' ELSE 'lp' END"),
             ("partnership_name", "CASE WHEN l_partkey % 6 = 0 THEN 'e compagni' ELSE '' END"),
             ("investment_cash", "CAST(CASE WHEN l_partkey % 10 = 1 THEN NULL WHEN l_partkey % 10 = 2 THEN 0 ELSE floor(l_extendedprice) END AS BIGINT)"),
@@ -93,7 +93,7 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
         "events",
         [
             ("contract_id", "10000000 + event_id"),
-            ("main_contract_id", "CAST(user_id AS BIGINT)"),
+            ("main_contract_id", "CAST(CASE WHEN event_id % 37 = 0 THEN -user_id - 1 ELSE user_id END AS BIGINT)"),
             ("folder", "concat('', CAST(10800 + event_id % 40 AS STRING))"),
             ("folio", "concat(CAST(1 + event_id % 190 AS STRING), 'r')"),
             ("registration_date", "CASE WHEN event_id % 53 = 0 THEN '0000-00-00' ELSE {day:ts} END"),
