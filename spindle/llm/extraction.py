@@ -66,7 +66,8 @@ def lines(page: str) -> list[tuple[int, str]]:
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    flush()
+                    if stack[-1][1:] != (stack[k - 1][1:] if k else (False, False)):
+                        flush()  # text before and after is of different places
                     del stack[k:]
                     break
             continue
@@ -86,9 +87,9 @@ def lines(page: str) -> list[tuple[int, str]]:
             never = name in ASIDE and not (name == "header" and main) or bool(marks and NAMES.search(marks)) or bool(m[4] and HIDDEN.search(m[4]))
             if never and f"</{name}" not in lower[at:]:
                 never = False  # never closed: it can't be told what it holds
-        if name in ("nav", "footer", "aside", "form", "header") or marks:
-            flush()
         main = main or name in ("article", "main") or "articleBody" in m[4]
+        if (never, main) != (stack[-1][1:] if stack else (False, False)):
+            flush()
         stack.append((name, never, main))
     if at < len(page):
         text.append(page[at:])

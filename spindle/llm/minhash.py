@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = scratch.keep(confirm(candidates(scratch, labelled, WIDTH)))
     comps = components(scratch, union([links, more]))
     classes = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("c", F.coalesce("comp", "rep").alias("comp"))
-    out = signed.select("id", "n", "c").join(classes, "c", "left").select("id", "n", F.coalesce("comp", "id").alias("component_id"))
+    out = signed.select("id", "n", "c").join(classes, "c", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
     scratch.sweep()
     return out

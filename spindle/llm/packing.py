@@ -192,7 +192,7 @@ def pack(docs: DataFrame, path: str, size: int = 4096, id_col: str = "doc_id", t
     while at < end:
         bounds.append(at)
         at += 1 << ((end - at).bit_length() - 1)
-    marks = spark.createDataFrame([(int(lo), int(hi), base + n) for n, (lo, hi) in enumerate(zip(bounds, [*bounds[1:], end], strict=True))] or [(0, 0, 0)], "lo long, hi long, seq long")
+    marks = spark.createDataFrame([(int(lo), int(hi), base + n) for n, (lo, hi) in enumerate(zip(bounds, [*bounds, end][1:], strict=True))] or [(0, 0, 0)], "lo long, hi long, seq long")
     over = (F.col("lo") < F.col("at") + F.col("length")) & (F.col("hi") > F.col("at"))
     bits = line.join(F.broadcast(marks), over)
     lo, hi = F.greatest("lo", "at"), F.least("hi", F.col("at") + F.col("length"))

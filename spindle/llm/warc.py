@@ -47,7 +47,7 @@ def fields(data: bytes) -> list[tuple[str, str]]:
 
 
 def get(headers: list[tuple[str, str]], name: str) -> str | None:
-    return next((v for k, v in headers if k.lower() == name), None)
+    return next((v for k, v in headers if k.lower() == name.lower()), None)
 
 
 def read(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
