@@ -43,12 +43,16 @@ def _role(role: str):
     return rows
 
 
-_YEAR = F.substring("registration_date", 1, 4)
+
+def _year_text():
+    return F.substring("registration_date", 1, 4)
+
+
 SUBJECTS = {"contracts": (_contracts, ["contract_id", "registration_date", "firm_name"]), "investors": (_investors, ["contract_id", "registration_date", "first_name", "last_name"])}
 #: filter -> (subjects, whether it needs a value, function of (archive, rows, value))
 FILTERS = {
-    "reg_year_from": (("contracts", "investors"), True, _where(lambda v: _YEAR >= str(v))),
-    "reg_year_to": (("contracts", "investors"), True, _where(lambda v: _YEAR <= str(v))),
+    "reg_year_from": (("contracts", "investors"), True, _where(lambda v: _year_text() >= str(v))),
+    "reg_year_to": (("contracts", "investors"), True, _where(lambda v: _year_text() <= str(v))),
     "place_is": (("contracts",), True, _semi("contract_id", lambda a, v: a.live_contract_place.join(a.place.where(F.col("place_name") == v), "place_id"))),
     "activity_contains": (("contracts",), True, _semi("economic_sector", lambda a, v: a.economic_activity.where(F.col("activity").ilike(f"%{v}%")).select(F.col("ec_activity_id").alias("economic_sector")))),
     "currency_is": (("contracts",), True, _semi("currency_id", lambda a, v: a.currency.where(F.col("currency") == v))),
@@ -65,11 +69,11 @@ FILTERS = {
     "title_contains": (("investors",), True, _semi("title", lambda a, v: a.title.where(F.col("title_name").ilike(f"%{v}%")).select(F.col("title_id").alias("title")))),
 }
 GROUPS = {
-    "reg_year": (("contracts", "investors"), year("registration_date")),
-    "decade": (("contracts", "investors"), decade("registration_date")),
-    "currency": (("contracts",), F.col("currency")),
-    "register": (("contracts",), F.trim("folder")),
-    "gender": (("investors",), F.when(F.col("is_woman") == 1, "women").otherwise("men")),
+    "reg_year": (("contracts", "investors"), lambda: year("registration_date")),
+    "decade": (("contracts", "investors"), lambda: decade("registration_date")),
+    "currency": (("contracts",), lambda: F.col("currency")),
+    "register": (("contracts",), lambda: F.trim("folder")),
+    "gender": (("investors",), lambda: F.when(F.col("is_woman") == 1, "women").otherwise("men")),
 }
 MEASURES = ("count", "list", "sum_total", "avg_total")
 
@@ -101,7 +105,7 @@ def compile_spec(a: Archive, spec: dict[str, Any]) -> DataFrame:
             df = df.where(~blank_date("registration_date"))
         if group == "currency":
             df = df.join(F.broadcast(a.currency), "currency_id")
-        key = key.alias(group)
+        key = key().alias(group)
     if measure == "count":
         out = F.count("*").alias("n")
     else:

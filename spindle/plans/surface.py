@@ -38,12 +38,12 @@ def usage_counts(a: Archive) -> DataFrame:
     return a.place.join(used, "place_id", "left").select("place_id", "place_name", F.coalesce("used", F.lit(0)).alias("used"))
 
 
-@archive_query("SELECT place_id, place_name, CASE WHEN lower(trim(place_name)) = 'ira' THEN 0 WHEN lower(trim(place_name)) LIKE 'ira%' THEN 1 ELSE 2 END AS rank FROM place WHERE place_name ILIKE '%ira%' ORDER BY 3, 2 LIMIT 8")
+@archive_query("SELECT place_id, place_name, CASE WHEN lower(trim(place_name)) = 'nation_1' THEN 0 WHEN lower(trim(place_name)) LIKE 'nation_1%' THEN 1 ELSE 2 END AS rank FROM place WHERE place_name ILIKE '%nation_1%' ORDER BY 3, 2 LIMIT 8")
 def typeahead(a: Archive) -> DataFrame:
     """Exact, prefix and inner matches of a term, best eight."""
     name = F.lower(F.trim("place_name"))
-    rank = F.when(name == "ira", 0).when(name.startswith("ira"), 1).otherwise(2)
-    return a.place.where(F.col("place_name").ilike("%ira%")).select("place_id", "place_name", rank.alias("rank")).orderBy("rank", "place_name").limit(8)
+    rank = F.when(name == "nation_1", 0).when(name.startswith("nation_1"), 1).otherwise(2)
+    return a.place.where(F.col("place_name").ilike("%nation_1%")).select("place_id", "place_name", rank.alias("rank")).orderBy("rank", "place_name").limit(8)
 
 
 @archive_query("SELECT contract_id, firm_name, registration_date FROM contract WHERE is_deleted = 0 AND (firm_name ILIKE '%firm 12%' OR document ILIKE '%firm 12%' OR CAST(contract_id AS VARCHAR) ILIKE '%firm 12%') AND substr(registration_date, 1, 4) BETWEEN '1993' AND '1996' ORDER BY CASE WHEN registration_date IN ('', '0000-00-00') OR registration_date IS NULL THEN 1 ELSE 0 END, registration_date, contract_id LIMIT 25 OFFSET 10")
@@ -85,10 +85,10 @@ def joint_investments(a: Archive) -> DataFrame:
     return rows.groupBy("investment_id").agg(F.countDistinct("person_id").alias("people")).groupBy("people").agg(F.count("*").alias("investments"))
 
 
-@archive_query("SELECT contract_id, registration_date, firm_name FROM contract WHERE is_deleted = 0 AND ec_discretion = 1 AND contract_id IN (SELECT cp.contract_id FROM contract_place cp JOIN place p ON p.place_id = cp.place_id WHERE cp.is_deleted = 0 AND p.place_name = 'FRANCE') AND substr(registration_date, 1, 4) >= '1994' ORDER BY 1, 2, 3 LIMIT 5000")
+@archive_query("SELECT contract_id, registration_date, firm_name FROM contract WHERE is_deleted = 0 AND ec_discretion = 1 AND contract_id IN (SELECT cp.contract_id FROM contract_place cp JOIN place p ON p.place_id = cp.place_id WHERE cp.is_deleted = 0 AND p.place_name = 'NATION_7') AND substr(registration_date, 1, 4) >= '1994' ORDER BY 1, 2, 3 LIMIT 5000")
 def builder_list(a: Archive) -> DataFrame:
     """Q25: a list of acts by year, place and flag."""
-    return builder.compile_spec(a, {"subject": "contracts", "measure": "list", "filters": [{"id": "reg_year_from", "value": 1994}, {"id": "place_is", "value": "FRANCE"}, {"id": "ec_discretion_yes"}]})
+    return builder.compile_spec(a, {"subject": "contracts", "measure": "list", "filters": [{"id": "reg_year_from", "value": 1994}, {"id": "place_is", "value": "NATION_7"}, {"id": "ec_discretion_yes"}]})
 
 
 @archive_query(f"SELECT CAST(substr(registration_date, 1, 3) || '0' AS INTEGER) AS decade, count(*) AS n FROM investor i JOIN person p ON p.person_id = i.person_id JOIN contract c ON c.contract_id = i.contract_id WHERE i.is_deleted = 0 AND c.is_deleted = 0 AND p.is_woman = 1 AND {DATED} AND i.investor_id IN (SELECT ig.investor_id FROM investor_group ig JOIN investment v ON v.investment_id = ig.investment_id WHERE v.is_deleted = 0 AND v.type = 'gp') GROUP BY 1")
@@ -264,3 +264,26 @@ def capped_sources(a: Archive) -> DataFrame:
     rows = a.live_sub_contract.select(F.col("main_contract_id"), F.col("contract_id").alias("later_id"), "registration_date")
     rows = rows.withColumn("nth", F.row_number().over(w.orderBy("registration_date", "later_id")).cast("long")).withColumn("total", F.count("*").over(w))
     return rows.where("nth <= 24").select(F.col("main_contract_id").alias("contract_id"), "later_id", "nth", "total")
+
+
+@query("WITH c AS (SELECT user_id, event_id, value * 1.5 AS score, event_type = 'error' AS bad FROM events WHERE value IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS rank FROM c), p AS (SELECT user_id, max(score) FILTER (WHERE rank = 1) AS a, max(score) FILTER (WHERE rank = 2) AS b, bool_or(bad) FILTER (WHERE rank = 1) AS bad FROM r GROUP BY 1) SELECT user_id AS entry_id, CASE WHEN a >= 85 AND a - coalesce(b, 0) >= 12 AND NOT bad THEN 'matched_high_confidence' WHEN a >= 65 AND a - coalesce(b, 0) >= 8 THEN 'matched_candidate' WHEN a >= 45 THEN CASE WHEN b IS NOT NULL THEN 'ambiguous' ELSE 'matched_candidate' END ELSE 'word_only' END AS status, round(a - coalesce(b, 0), 6) AS margin FROM p")
+def classify_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each entry by its best candidates (events stand for candidates of their user)."""
+    from ..operators import linkage
+
+    e = _read(spark, sf_dir, "events").where("value is not null")
+    none, bad = F.array().cast("array<string>"), F.array(F.lit("registration_date_differs"))
+    c = e.select(F.col("user_id").alias("entry_id"), F.col("event_id").alias("row_id"), F.lit(0).alias("rule"), F.lit("contract").alias("db_table"), F.lit(None).cast("long").alias("main_contract_id"), *(F.lit(None).cast("string").alias(x) for x in ("registration_date", "folio_start", "folio_end")), F.lit(0.0).alias("strength"), none.alias("signals"), F.when(F.col("event_type") == "error", bad).otherwise(none).alias("conflicts"), (F.col("value") * 1.5).alias("score"))
+    return linkage.classify(linkage.top(c)).select("entry_id", "status", F.round("margin", 6).alias("margin"))
+
+
+@query()
+def linkage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as rows against documents that share their first word as number; scored and ranked."""
+    from ..operators import linkage
+
+    word = F.xxhash64(F.get(tx.match_tokens(F.col("text")), F.lit(0)))
+    none, text = F.lit(None).cast("string"), F.array().cast("array<string>")
+    e = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), F.lit("r").alias("register_id"), F.lit("new_contract").alias("label"), word.alias("event_number"), F.lit(None).cast("long").alias("reference_number"), text.alias("dates"), text.alias("stile_dates"), none.alias("folio_start"), none.alias("folio_end"), "text")
+    r = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), F.lit("contract").alias("db_table"), word.alias("contract_id"), F.lit(None).cast("long").alias("main_contract_id"), F.lit("r").alias("register_id"), none.alias("registration_date"), none.alias("sub_type"), none.alias("folio_start"), none.alias("folio_end"), "text")
+    return linkage.top(linkage.score(linkage.block(e, r), e, r)).select("entry_id", "row_id", "rank", "score", "signals", "conflicts")
