@@ -24,14 +24,16 @@ from pyspark.sql import functions as F
 
 from .common import EDGE, Scratch, batch, components
 
-#: Vectors that a filter should hold, filters that a pair at the least cosine should share, vectors of a piece.
-HELD, SHARED, PIECE = 50, 14, 1024
+#: Vectors that a filter should hold, filters of a code that a pair at the least cosine should share, vectors of a piece.
+HELD, SHARED, PIECE = 50, 9, 1024
+#: Codes with rotations of their own: a pair whose difference lies badly for one seldom does for the other.
+CODES = 2
 #: A cosine this much below the limit is computed again, vector by vector.
 SLACK = 1e-9
 
 
-@lru_cache(4)
-def code(d: int, n: int, cosine: float) -> tuple[np.ndarray, list[np.ndarray], float]:
+@lru_cache(8)
+def code(d: int, n: int, cosine: float, which: int = 0) -> tuple[np.ndarray, list[np.ndarray], float]:
     """(rotation, code words of each block, threshold of the sum of block products) for n vectors of d dimensions."""
     u = np.linspace(-1, 1, 200_001)[1:-1]
     density = (1 - u * u) ** ((d - 3) / 2) if d > 1 else np.ones(len(u))
@@ -44,7 +46,7 @@ def code(d: int, n: int, cosine: float) -> tuple[np.ndarray, list[np.ndarray], f
     want = SHARED / (max(p, float(tail[np.searchsorted(u, alpha)])) * max(q, 0.05))
     m = next((m for m in range(1, d + 1) if want ** (1 / m) <= 200), d)
     k = max(2, math.ceil(want ** (1 / m)))
-    rng = np.random.default_rng([2, d, n.bit_length()])
+    rng = np.random.default_rng([2, d, n.bit_length(), which])
     rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
     words = []
     for part in np.array_split(np.arange(d), m):
@@ -105,8 +107,11 @@ def filterer(count: int, cosine: float):
             cols: list[list] = [[] for _ in FILTERED]
             for i, n, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 v = unit(vector(x))
-                rotation, words, least = code(len(v), count, cosine)
-                found = decode(rotation @ v, words, least) * 4096 + len(v) % 4096  # vectors of other lengths don't meet
+                each = []
+                for which in range(CODES):
+                    rotation, words, least = code(len(v), count, cosine, which)
+                    each.append(decode(rotation @ v, words, least) * CODES + which)
+                found = np.concatenate(each) * 4096 + len(v) % 4096  # vectors of other lengths don't meet
                 fs = found.tobytes()
                 for col, y in zip(cols, (found.tolist(), [i] * len(found), [n] * len(found), [x] * len(found), [fs] * len(found)), strict=True):
                     col += y
@@ -204,7 +209,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do vectors of
     different lengths. Each other row that is linked directly counts, so rows that repeat a vector count each other. A
     null id has a null component and is kept. Empty tables give an empty result. Which links are found is a matter of
-    chance with a chance of missing of about exp(-SHARED) at the least cosine; none below it is found.
+    chance with a chance of missing of about exp(-CODES * SHARED) at the least cosine; none below it is found.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
