@@ -102,8 +102,9 @@ def fit(toxic: list[bytes], ordinary: list[bytes], prior: float) -> Model | None
         return None
     cut_t, cut_o = max(1, 2 * len(toxic) // 3), max(1, 2 * len(ordinary) // 3)
     seen_t: Counter = Counter(p for t in toxic[:cut_t] for p in pieces(t))
-    seen_o: Counter = Counter(p for t in ordinary[:cut_o] for p in pieces(t))
-    own = {p for p, n in seen_t.items() if n >= max(3, 0.01 * cut_t) and n / cut_t > 20 * (seen_o[p] + 0.25) / cut_o}
+    seen_t = Counter({p: n for p, n in seen_t.items() if n >= max(3, 0.01 * cut_t)})
+    seen_o: Counter = Counter(p for t in ordinary[:cut_o] for p in pieces(t) if p in seen_t)
+    own = {p for p, n in seen_t.items() if n / cut_t > 20 * (seen_o[p] + 0.25) / cut_o}
     marked = Counter(w for t in toxic[:cut_t] for w in set(words(t)) if any(w[i : i + GRAM] in own for i in range(len(w) - GRAM + 1)))
     held, size = [], 0
     for w, _ in sorted(marked.items(), key=lambda x: (-x[1], x[0])):
