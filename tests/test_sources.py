@@ -48,3 +48,20 @@ def test_gazetteer(spark, tmp_path):
     bad = ["2", "x"]
     (tmp_path / "g.tsv").write_text("\n".join("\t".join(r) for r in (row, bad, [*row[:6], "H", *row[7:]])))
     assert {r["key"] for r in files.gazetteer(spark, str(tmp_path / "g.tsv")).collect()} == {"città", "citta", "civitas"}
+
+
+def test_vocabulary(spark):
+    from spindle.operators import vocabulary as v
+
+    terms = spark.createDataFrame([(1, "signore", 3), (2, "Signor", 9), (3, "messer", 1)], "id long, value string, count long")
+    (f,) = v.families(terms, "title").collect()
+    assert (f["signature"], [t["id"] for t in f["terms"]], f["total"]) == ("signor", [2, 1], 12)
+    members = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 4), ("b", 5), ("c", 6), ("c", 7)], "family string, id long")
+    links = spark.createDataFrame([("same_as", 1, 2), ("variant_of", 3, 2), ("distinct", 5, 4), ("same_as", 6, 1)], "rel string, from_id long, to_id long")
+    assert [r["family"] for r in v.undecided(members, links).collect()] == ["c"]
+    names = spark.createDataFrame([(1, "Città", "IT", "Umbria"), (2, "Pisa", "FR", None), (3, "Ignota", None, None)], "id long, name string, country string, region string")
+    entries = spark.createDataFrame([("citta", "IT", 1.0, 2.0, "Lazio", 900), ("citta", "IT", 3.0, 4.0, "umbria", 5), ("pisa", "IT", 5.0, 6.0, "", 1)], "key string, country string, lat double, lon double, admin1 string, population long")
+    points = v.nearest_entry(names, entries)
+    centre = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 9.0)], "id long, lat double, lon double")
+    got = {r["id"]: (r["lat"], r["precision"]) for r in v.waterfall(names, ("gazetteer", points), ("country", centre)).collect()}
+    assert got == {1: (3.0, "gazetteer"), 2: (9.0, "country"), 3: (None, None)}
