@@ -30,7 +30,7 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
             ("total", "CASE WHEN o_orderkey % 31 = 0 THEN 'non detto' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) END"),
             ("ec_discretion", "CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END"),
             ("duration_months", "CAST(CASE WHEN o_orderkey % 11 = 0 THEN -1 ELSE 12 * (o_orderkey % 9) END AS BIGINT)"),
-            ("document", "CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('Accomandita di Firm ', CAST(o_custkey % 500 AS STRING), ' per scudi ', CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), ' ', o_orderpriority) END"),
+            ("document", "CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('Atto di Firm ', CAST(o_custkey % 500 AS STRING), ' per scudi ', CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), ' ', o_orderpriority) END"),
             ("is_deleted", "CASE WHEN o_orderkey % 50 = 1 THEN 1 ELSE 0 END"),
         ],
     ),
