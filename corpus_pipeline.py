@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
+    """Of each group of near-duplicates (Jaccard of 5-word shingles 0.8 or more) the document with the smallest id stays."""
+    gone = minhash.near_duplicates(docs, over=80).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
