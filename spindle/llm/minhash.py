@@ -7,7 +7,12 @@ Candidates are confirmed on the full shingle sets, and confirmed links are joine
 
 Documents with equal sets are one class from the start, so exact copies cost one row each whatever their number. A first
 pass links neighbours in a few orders; a second looks, in all orders, only at neighbours that are not yet connected.
-The rows made are bounded by orders x WIDTH per document, however large a group is.
+The rows made by these are bounded by orders x WIDTH per document, however large a group is.
+
+A prefix of the least depth that more rows share than stand side by side, and that still holds several components, is
+open. All pairs of documents of open prefixes are settled exactly, by prefix filtering: shingles are sorted by rarity,
+and two sets that reach the limit share one of their first shingles. No pair of different components that shares a
+prefix is left unexamined unless this shows that it can't reach the limit.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ TREES, DEPTH, LEAST, WIDTH = 16, 8, 4, 3
 LOOSE, LEAST_LOOSE = 85, 3
 #: Orders of the first pass.
 FIRST = 3
+#: Of the exact pass: counters of shingles, most shingles carried with a row, rows compared with as many others at once.
+COUNTERS, CARRIED, BLOCK = 1 << 18, 256, 2000
 KEY = 1 + 4 * DEPTH
 
 _rng = np.random.default_rng(20)
@@ -163,6 +170,150 @@ def confirmer(words: int, over: int):
     return run
 
 
+def opened(crowded: DataFrame, comps: DataFrame, least: int) -> DataFrame:
+    """(id, comp) of the documents whose prefix of least values holds several components and more rows than were all compared."""
+    rows = crowded.select(F.xxhash64(F.substring("k", 1, 1 + 4 * least)).alias("p"), "id")
+    rows = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").select("p", "id", F.coalesce("comp", "id").alias("comp"))
+    regions = rows.groupBy("p").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(f"lo <> hi and n > {WIDTH + 1}").select("p")
+    return rows.join(regions, "p", "left_semi").select("id", "comp").distinct()
+
+
+TALLY = pa.schema([("at", pa.int64()), ("n", pa.int64())])
+HELD = pa.schema([("id", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("s", pa.list_(pa.int64())), ("c", pa.binary())])
+
+
+def counter(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(46)).astype(np.int64)
+
+
+def tally(words: int):
+    """Texts -> how many shingles fall on each counter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = WordHash(), np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for t in texts(b.column(0)):
+                np.add.at(n, counter(shingles(t, words, seen)), 1)
+        at = np.flatnonzero(n)
+        if len(at):
+            yield batch(TALLY, [at, n[at]])
+
+    return run
+
+
+def least_common(a, b, over: int):
+    """Least intersection of sets of a and b shingles with 100 * intersection >= over * union."""
+    return -(-over * (a + b) // (100 + over))
+
+
+def rarest(words: int, over: int, shared):
+    """(id, comp, text) -> the rarest shingles: as many as a set that reaches the limit with a smaller one must share one of, and those carried."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, count = WordHash(), shared.value
+        for b in batches:
+            n, first, carried = [], [], []
+            for t in texts(b.column(2)):
+                s = shingles(t, words, seen)
+                held = count[counter(s)]
+                s = s[np.lexsort((s, held))]
+                alone = int((held == 1).sum())  # no other document has these; they stand first
+                n.append(len(s))
+                most = len(s) + over * len(s) // -100 + 1
+                first.append([None] * min(alone, most) + s[alone:most].view(np.int64).tolist())
+                carried.append((s[:CARRIED] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
+            yield batch(HELD, [b.column(0), b.column(1), n, first, carried])
+
+    return run
+
+
+def comparer(over: int):
+    """Rows (s, lo, hi, b, id, comp, n, at, c) sorted by s, lo, hi -> pairs of a group that may reach the limit, by bounds that hold."""
+
+    def group(lo: int, hi: int, own: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, at: np.ndarray, c: list[bytes]):
+        x = np.flatnonzero(own == lo)
+        y = x if lo == hi else np.flatnonzero(own == hi)
+        if not len(x) or not len(y):
+            return None
+        nx, ny = n[x][:, None], n[y][None, :]
+        short, long = np.minimum(nx, ny), np.maximum(nx, ny)
+        ok = (comp[x][:, None] != comp[y][None, :]) & (100 * short >= over * long)
+        # The shared shingle is among the first of the smaller set too, where fewer are enough.
+        ok &= np.where(nx <= ny, at[x][:, None], at[y][None, :]) <= short - least_common(short, short, over)
+        if lo == hi:
+            ok &= ids[x][:, None] < ids[y][None, :]
+        if not ok.any():
+            return None
+        lens = np.array([len(v) // 4 for v in c])
+        row = np.repeat(np.arange(len(c)), lens)
+        _, col, many = np.unique(np.frombuffer(b"".join(c), np.uint32), return_inverse=True, return_counts=True)
+        use = many > 1
+        new = np.cumsum(use) - 1
+        row, col = row[use[col]], new[col[use[col]]]
+        both, step = np.zeros((len(x), len(y)), np.float32), 2048
+        for k in range(0, int(use.sum()), step):
+            part = (col >= k) & (col < k + step)
+            m = np.zeros((len(c), step), np.float32)
+            np.add.at(m, (row[part], col[part] - k), 1)
+            both += m[x] @ m[y].T
+        # Sets that share `need` have at least `deep` of it in common among the shingles carried, if these reach so far.
+        need = least_common(nx, ny, over)
+        deep = np.minimum(lens[x][:, None] - nx, lens[y][None, :] - ny) + need
+        i, j = np.nonzero(ok & (both >= deep))
+        return np.minimum(ids[x[i]], ids[y[j]]), np.maximum(ids[x[i]], ids[y[j]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .common import EDGE
+
+        held: list[pa.RecordBatch] = []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            cols = [np.asarray(t.column(k)) for k in range(3, 8)]
+            found = group(t.column(1)[0].as_py(), t.column(2)[0].as_py(), *cols, t.column(8).to_pylist())
+            if found is not None and len(found[0]):
+                yield batch(EDGE, list(found))
+
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([np.asarray(b.column(k)).astype(np.int64) for k in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            for a, e in zip(cuts, cuts[1:]):
+                if held and tuple(key[a]) != last:
+                    yield from ended()
+                    held.clear()
+                last = tuple(key[a])
+                held.append(b.slice(a, e - a))
+        if held:
+            yield from ended()
+
+    return run
+
+
+def settle(scratch: Scratch, members: DataFrame, gathered: DataFrame, words: int, over: int) -> DataFrame:
+    """Pairs (a, b) of members of different components, none missing that reaches the limit; to be confirmed.
+
+    A shingle that many rows share is dealt by pairs of blocks of its rows, so no task gets all of them.
+    """
+    spark = members.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    src = scratch.keep(gathered.join(members.hint("merge"), "id").select("id", "comp", "text"))
+    count = np.zeros(COUNTERS, np.int64)
+    for r in src.select("text").mapInArrow(tally(words), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+        count[r["at"]] = r["n"]
+    shared = spark.sparkContext.broadcast(count)
+    held = scratch.keep(src.mapInArrow(rarest(words, over, shared), "id long, comp long, n long, s array<long>, c binary"))
+    thin = held.select("id", "comp", "n", F.posexplode("s").alias("at", "s")).where("s is not null")
+    met = thin.groupBy("s").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
+    rows = thin.join(met, "s").withColumn("b", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    rows = rows.select("s", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "id", "comp", "n", F.col("at").cast("long").alias("at"))
+    rows = rows.join(held.select("id", "c"), "id").select("s", "lo", "hi", "b", "id", "comp", "n", "at", "c")
+    dealt = rows.repartition(parts, "s", "lo", "hi").sortWithinPartitions("s", "lo", "hi")
+    return dealt.mapInArrow(comparer(over), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, over: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row: documents with 100 * intersection >= over * union are linked.
 
@@ -201,6 +352,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = crowded.drop("comp").join(comps.withColumnRenamed("node", "id"), "id", "left").select("k", "id", F.coalesce("comp", "id").alias("comp"))
     more = scratch.keep(confirm(candidates(scratch, labelled, WIDTH, least)))
     comps = components(scratch, union([links, more]))
+    members = scratch.keep(opened(crowded, comps, least))
+    if members.limit(1).count():
+        rest = scratch.keep(confirm(settle(scratch, members, gathered, words, over)))
+        comps = components(scratch, union([links, more, rest]))
     classes = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("c", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("id", "n", "c").join(classes, "c", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

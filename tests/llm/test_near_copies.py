@@ -30,3 +30,56 @@ def test_pipeline_drops_copies_from_0_8(spark):
     got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()}
     assert len(kept(rows, 85)) == 60 and len(kept(rows, 80)) == 40
     assert got == kept(rows, 80)
+
+
+def form_letters(n, slots, values, seed=5):
+    """Documents of one form whose slots have few values each: all share most shingles, few are linked."""
+    rng = random.Random(seed)
+    form = brute.sentence(rng, 120).split()
+    rows = set()
+    while len(rows) < n:
+        rows.add(tuple(rng.randrange(values) for _ in range(slots)))
+    out = []
+    for i, held in enumerate(sorted(rows, key=lambda _: rng.random())):
+        w = list(form)
+        for k, v in enumerate(held):
+            w[10 + 25 * k] = f"slot{k}value{v}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_links_in_a_crowd_of_unlinked_documents(spark):
+    from spindle.llm.minhash import near_duplicates
+
+    rows = form_letters(1500, 3, 60)
+    want = brute.near(rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: want[i][1] for i in want}
+
+
+def test_bounds_of_the_exact_pass(spark):
+    """Sets of many sizes, blocks of a few rows: every pair that reaches the limit is among the candidates."""
+    from pyspark.sql import functions as F
+
+    from spindle.llm import minhash
+    from spindle.llm.common import Scratch
+
+    rng = random.Random(9)
+    rows = []
+    for g in range(6):
+        w = brute.sentence(rng, (8, 40, 120, 300, 900, 2500)[g]).split()
+        for _ in range(25):
+            v = w[: len(w) - rng.randrange(1 + len(w) // 6)]
+            for _ in range(rng.randrange(1 + len(w) // 60)):
+                v[rng.randrange(len(v))] = f"w{rng.randrange(5)}"
+            rows.append((len(rows), " ".join(v)))
+    docs = spark.createDataFrame(rows, "id long, text string")
+    s = {i: brute.shingles(t) for i, t in rows}
+    block, minhash.BLOCK = minhash.BLOCK, 7
+    try:
+        for over in (80, 85):
+            found = {(r["a"], r["b"]) for r in minhash.settle(Scratch(spark), docs.select("id", F.col("id").alias("comp")), docs, 5, over).collect()}
+            want = {(a, b) for a, b in itertools.combinations(s, 2) if 100 * len(s[a] & s[b]) >= over * len(s[a] | s[b])}
+            assert len(want) > 300 and want <= found
+    finally:
+        minhash.BLOCK = block
