@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,15 +17,34 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session uses a folder
+    of its own in the warehouse; a cluster must name one."""
     key = "spark.checkpoint.dir"
     found = spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spindle-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{key} must name a folder that driver and executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.spindle"
         spark.conf.set(key, found)
     return found.rstrip("/")
 
 
+def tidy(f: Callable) -> Callable:
+    """A mapInArrow function that gives its memory back to the system when it ends: workers outlive their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage, survive lost executors, and may be dropped when no longer read."""
 
@@ -69,7 +88,7 @@ class WordHash(dict):
     """Word -> 64-bit hash, remembered for the words met lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -163,7 +182,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     by that map. A map applied to both ends of all edges keeps connectivity, and each round at least halves the nodes
     of every component. All steps are joins and partial aggregations; none gathers a component in one task.
     """
-    e = scratch.keep(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(contract, "a long, b long"))
+    e = scratch.keep(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(tidy(contract), "a long, b long"))
     labels = None
     while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import EDGE, Scratch, batch, components
+from .common import EDGE, Scratch, batch, components, tidy
 
 #: Vectors that a filter should hold, filters of a code that a pair at the least cosine should share, vectors of a piece.
 HELD, SHARED, PIECE = 50, 9, 1024
@@ -214,15 +214,15 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = scratch.keep(src.mapInArrow(clean, "id long, c binary, x binary"))
+    rows = scratch.keep(src.mapInArrow(tidy(clean), "id long, c binary, x binary"))
     classes = scratch.keep(rows.where("c is not null and id is not null").groupBy("c").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("x").alias("x")))
-    made = scratch.keep(classes.select("id", "n", "x").mapInArrow(filterer(classes.count(), cosine), FILTERED_SQL))
+    made = scratch.keep(classes.select("id", "n", "x").mapInArrow(tidy(filterer(classes.count(), cosine)), FILTERED_SQL))
     held = made.groupBy("f").agg(F.count("*").alias("held")).where("held > 1").withColumn("pieces", F.ceil(F.col("held") / PIECE).cast("int")).drop("held")
     dealt = made.join(held, "f").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     dealt = dealt.select("f", F.least("piece", "other").alias("lo"), F.greatest("piece", "other").alias("hi"), "id", "n", "x", "piece", "fs")
     met = dealt.repartition("f", "lo", "hi").sortWithinPartitions("f", "lo", "hi")
-    found = scratch.keep(met.mapInArrow(comparer(cosine), "id long, links long, root long"))
+    found = scratch.keep(met.mapInArrow(tidy(comparer(cosine)), "id long, links long, root long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = components(scratch, found.where("id <> root").select(F.col("id").alias(EDGE.names[0]), F.col("root").alias(EDGE.names[1])))
     whole = classes.select("c", "id", "n").join(links, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")

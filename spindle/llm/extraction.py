@@ -24,7 +24,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, tidy
 
 #: Elements whose content is not text of the page.
 RAW = "script|style|template|noscript|textarea|title|svg|iframe|math|object|select"
@@ -249,7 +249,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     ordered = keyed.select(*KEY).repartitionByRange(parts, *KEY).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*KEY)).alias("lo"), F.max(F.struct(*KEY)).alias("hi"))
     ends = sorted((tuple(r["lo"]), tuple(r["hi"])) for r in ordered.collect()) or [(("", "", 0, 0),) * 2]
     firsts, lasts = map(list, zip(*ends, strict=True))
-    parsed = keyed.select("id", "url", "html", *KEY).mapInArrow(parser(firsts, lasts), PARSED_SQL)
+    parsed = keyed.select("id", "url", "html", *KEY).mapInArrow(tidy(parser(firsts, lasts)), PARSED_SQL)
     beside = parsed.repartitionById(len(ends), F.col("part")).sortWithinPartitions("part", *KEY, "ghost")
-    out = beside.mapInArrow(difference, "id long, url string, text string, n long")
+    out = beside.mapInArrow(tidy(difference), "id long, url string, text string, n long")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.col("n").alias("n_chars"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, WordHash, batch, components, mix, per_batch, texts, union
+from .common import Scratch, WordHash, batch, components, mix, per_batch, texts, tidy, union
 
 TREES, DEPTH, LEAST, WIDTH = 16, 8, 4, 3
 #: Least depth for limits under 85: at a Jaccard of 0.80, 16 orders of 4 values miss one link in 4,600, of 3 values one in 97,000.
@@ -136,7 +136,7 @@ def candidates(scratch: Scratch, rows: DataFrame, width: int, least: int) -> Dat
     """Distinct pairs (a, b) of neighbours in the sorted orders, also across the ends of partitions."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "k", "id").sortWithinPartitions("k", "id")
-    found = scratch.keep(ordered.mapInArrow(neighbours(width, least), PAIR_SQL))
+    found = scratch.keep(ordered.mapInArrow(tidy(neighbours(width, least)), PAIR_SQL))
     ends = found.where("edge >= 0").select("a", "k", "comp", F.shiftright("edge", 1).alias("part"), (F.col("edge") % 2).alias("last"))
     left = ends.where("last = 1").select(F.col("a").alias("x"), F.col("k").alias("kx"), F.col("comp").alias("cx"), (F.col("part") + 1).alias("part"))
     right = ends.where("last = 0").select(F.col("a").alias("y"), F.col("k").alias("ky"), F.col("comp").alias("cy"), "part")
@@ -301,17 +301,17 @@ def settle(scratch: Scratch, members: DataFrame, gathered: DataFrame, words: int
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = scratch.keep(gathered.join(members.hint("merge"), "id").select("id", "comp", "text"))
     count = np.zeros(COUNTERS, np.int64)
-    for r in src.select("text").mapInArrow(tally(words), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in src.select("text").mapInArrow(tidy(tally(words)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
         count[r["at"]] = r["n"]
     shared = spark.sparkContext.broadcast(count)
-    held = scratch.keep(src.mapInArrow(rarest(words, over, shared), "id long, comp long, n long, s array<long>, c binary"))
+    held = scratch.keep(src.mapInArrow(tidy(rarest(words, over, shared)), "id long, comp long, n long, s array<long>, c binary"))
     thin = held.select("id", "comp", "n", F.posexplode("s").alias("at", "s")).where("s is not null")
     met = thin.groupBy("s").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
     rows = thin.join(met, "s").withColumn("b", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.select("s", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "id", "comp", "n", F.col("at").cast("long").alias("at"))
     rows = rows.join(held.select("id", "c"), "id").select("s", "lo", "hi", "b", "id", "comp", "n", "at", "c")
     dealt = rows.repartition(parts, "s", "lo", "hi").sortWithinPartitions("s", "lo", "hi")
-    return dealt.mapInArrow(comparer(over), "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(comparer(over)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, over: int = 85) -> DataFrame:
@@ -325,13 +325,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark)
     least = LEAST if over >= LOOSE else LEAST_LOOSE
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.keep(src.mapInArrow(signer(words), "id long, n long, c binary, sig binary"))
+    signed = scratch.keep(src.mapInArrow(tidy(signer(words)), "id long, n long, c binary, sig binary"))
     real = signed.where("c is not null and id is not null")
     reps = scratch.keep(real.groupBy("c").agg(F.min("id").alias("rep"), F.min_by("sig", "id").alias("sig")))
     short = reps.select(F.col("rep").alias("id"), "sig")
 
     # Only documents with a neighbour in some order can have links; their texts are gathered once.
-    first = scratch.keep(short.select("id", "sig", F.col("id").alias("comp")).mapInArrow(keys(range(TREES)), "k binary, id long, comp long"))
+    first = scratch.keep(short.select("id", "sig", F.col("id").alias("comp")).mapInArrow(tidy(keys(range(TREES))), "k binary, id long, comp long"))
     prefix = F.xxhash64(F.substring("k", 1, 1 + 4 * least))
     shared = first.groupBy(prefix.alias("p")).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("p")
     crowded = scratch.keep(first.withColumn("p", prefix).join(shared, "p", "left_semi").select("k", "id", "comp"))
@@ -344,7 +344,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def confirm(pairs: DataFrame) -> DataFrame:
         x, y = gathered.select(F.col("id").alias("a"), F.col("text").alias("ta")), gathered.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(confirmer(words, over), "a long, b long")
+        return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(tidy(confirmer(words, over)), "a long, b long")
 
     few = crowded.where(F.conv(F.hex(F.substring("k", 1, 1)), 16, 10).cast("int") < FIRST)
     links = scratch.keep(confirm(candidates(scratch, few, 1, least)))

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch
-from .tokens import ids_of
+from .common import Scratch, batch, tidy
+from .tokens import Ids
 
 END = (2).to_bytes(4, "little")
 GRAIN = 16
@@ -34,7 +34,7 @@ def cutter(path: str, size: int):
     """(id, text) -> whole sequences and the remainder of each document. salt tells rows that repeat an id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ids_of(path)
+        ids = Ids(path)
         for b in batches:
             cols: list[list] = [[], [], [], [], [], []]
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -127,7 +127,7 @@ def recount(path: str):
     schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("doc_tokens", pa.int64()), ("seq", pa.int64()), ("off", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ids_of(path)
+        ids = Ids(path)
         for b in batches:
             cols: list[list] = [[] for _ in schema]
             for i, t, salt, cuts in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, path: str, size: int = 4096, id_col: str = "doc_id", t
     spark = docs.sparkSession
     scratch, room = Scratch(spark), size // GRAIN
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    pieces = scratch.keep(src.mapInArrow(cutter(path, size), PIECE_SQL).withColumn("klass", F.ceil(F.col("length") / GRAIN).cast("int")))
+    pieces = scratch.keep(src.mapInArrow(tidy(cutter(path, size)), PIECE_SQL).withColumn("klass", F.ceil(F.col("length") / GRAIN).cast("int")))
     # The histogram has at most `room` rows.
     rows = pieces.groupBy("klass").agg(F.count("*").alias("n")).collect()
     demand = np.zeros(room, dtype=np.int64)
@@ -202,6 +202,6 @@ def pack(docs: DataFrame, path: str, size: int = 4096, id_col: str = "doc_id", t
     cuts = scratch.keep(cuts)
     again = src.join(F.broadcast(cuts.select(F.col("id").alias("i"))).distinct(), F.col("id").eqNullSafe(F.col("i")), "left_semi").dropDuplicates(["id", "text"])
     ends = again.join(F.broadcast(cuts.select(F.col("id").alias("i"), "salt", "cuts")), F.col("id").eqNullSafe(F.col("i"))).select("id", "text", "salt", "cuts")
-    cut = ends.mapInArrow(recount(path), "id long, start long, length long, crc long, doc_tokens long, seq long, off long")
+    cut = ends.mapInArrow(tidy(recount(path)), "id long, start long, length long, crc long, doc_tokens long, seq long, off long")
     out = fitted.unionByName(cut)
     return out.select(F.col("id").alias(id_col), "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", F.col("seq").alias("sequence_id"), F.col("off").alias("offset"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, batch, mix, texts
+from .common import Scratch, WordHash, batch, mix, texts, tidy
 
 _B = 0xD1342543DE82EF95
 _BI = pow(_B, -1, 2**64)
@@ -395,13 +395,13 @@ def merged(v: np.ndarray, width: int) -> np.ndarray:
 def repeated_runs(docs: DataFrame, kind: Kind, index: Callable) -> DataFrame:
     """docs(id, text) -> (id, vs): for each document with any, the runs of windows that a document of a smaller id has."""
     scratch = Scratch(docs.sparkSession)
-    made = docs.mapInArrow(run_maker(kind), "m long, c long, id long, v long")
-    settled = scratch.keep(made.repartition("m").sortWithinPartitions("m", "c", "id", "v").mapInArrow(settle, "id long, v long, m long"))
+    made = docs.mapInArrow(tidy(run_maker(kind)), "m long, c long, id long, v long")
+    settled = scratch.keep(made.repartition("m").sortWithinPartitions("m", "c", "id", "v").mapInArrow(tidy(settle), "id long, v long, m long"))
     del made
     scratch.sweep()
     mine = settled.where("m is not null").groupBy("id").agg(F.collect_list(F.struct("v", "m")).alias("r")).select("id", F.col("r.v").alias("v"), F.col("r.m").alias("m"))
-    region = docs.join(mine, "id").select("id", "text", "v", "m").mapInArrow(region_maker(kind), "m long, id long, s long, x binary")
-    found = scratch.keep(region.repartition("m").sortWithinPartitions("m", "id").mapInArrow(resolver(kind, index), "id long, v long"))
+    region = docs.join(mine, "id").select("id", "text", "v", "m").mapInArrow(tidy(region_maker(kind)), "m long, id long, s long, x binary")
+    found = scratch.keep(region.repartition("m").sortWithinPartitions("m", "id").mapInArrow(tidy(resolver(kind, index)), "id long, v long"))
     del mine, region
     scratch.sweep()
     return settled.where("m is null").select("id", "v").unionByName(found).groupBy("id").agg(F.collect_list("v").alias("vs"))
@@ -459,7 +459,7 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     src = prepared(docs, id_col, text_col)
     out = src.join(repeated_runs(src.where("id is not null and text is not null"), WORDS, index), "id", "left")
-    out = out.select("id", "text", "vs").mapInArrow(keeper(WORDS, True), "id long, n long, removed long, spans long, sha string")
+    out = out.select("id", "text", "vs").mapInArrow(tidy(keeper(WORDS, True)), "id long, n long, removed long, spans long, sha string")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"))
 
 
@@ -471,7 +471,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     src = prepared(docs, id_col, text_col)
     out = src.join(repeated_runs(src.where("id is not null and text is not null"), BYTES, index), "id", "left")
-    out = out.select("id", "text", "vs").mapInArrow(keeper(BYTES, False), "id long, n long, removed long, spans long, sha string")
+    out = out.select("id", "text", "vs").mapInArrow(tidy(keeper(BYTES, False)), "id long, n long, removed long, spans long, sha string")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"))
 
 
@@ -491,4 +491,4 @@ def strip_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns[at] = pa.array(new, type=pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(tidy(run), docs.schema)

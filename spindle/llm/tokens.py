@@ -1,27 +1,33 @@
 """Token counts from pre-token frequencies, and the tokenizer files' fast paths.
 
 The vocabulary files' pre-tokenizers cut a text into pieces that are encoded one by one, so a document's count is the sum
-over its distinct pieces of frequency times the piece's tokens. A piece is encoded once for a worker, not once for each
-of its uses, and no list of ids is ever made. The join of frequencies with the table of counted pieces is a lookup in
-the task: dealing a row for each document and piece to a global table would move several times the text itself.
-
-Texts with characters outside a plain set, in which Python's and the library's character classes could differ, go
-through the library whole.
+over its distinct pieces of frequency times the piece's tokens. Each distinct piece of the corpus is encoded once, and no
+list of ids is kept. The HEAD most frequent pieces, a table of fixed size, are counted first and broadcast; their part of
+a document is summed where it is read. The other pieces are dealt by name with the documents' frequencies: each is
+counted by the task that has all its rows, and the products go back to their documents. A piece that is dealt is none
+of the most frequent, so none has more than a small share of the rows.
+
+Texts with characters outside a plain set, in which Python's and the library's character classes could differ, are cut
+by the library's own pre-tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, tidy
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A character for which the fast path would not be certain.
@@ -29,8 +35,8 @@ ODD = re.compile(f"[^\\t\\n\\r -~{LETTERS}]")
 #: The pieces of byte_bpe_50k.json and of word_bpe_49k.json, over the plain set.
 BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
-#: Pieces that a worker remembers.
-MOST = 500_000
+#: Chunks or words that a task remembers; pieces that are broadcast.
+MOST, HEAD = 100_000, 1 << 18
 
 
 @cache
@@ -41,57 +47,163 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-class Counts(dict):
-    """Space-delimited chunk -> tokens, through the counts of its pieces."""
+class Cutter:
+    """Cuts texts into pre-tokens: pieces that the library encodes one by one. A special string is a piece of its own."""
 
     def __init__(self, path: str):
-        self.tok, self.pieces = load(path), {}
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-
-    def learn(self, chunks: list[str]) -> None:
-        """Count the pieces of new chunks, each distinct piece once."""
-        if len(self.pieces) > MOST:
-            self.pieces.clear()
-        cut = [BYTE_PIECES.findall(c) for c in chunks]
-        new = list({p for ps in cut for p in ps if p not in self.pieces})
-        self.pieces.update(zip(new, map(len, self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        get = self.pieces.__getitem__
-        for c, ps in zip(chunks, cut, strict=True):
-            self[c] = sum(map(get, ps))
-
-    def count(self, texts: list[str]) -> list[int]:
-        out, todo = [0] * len(texts), []
-        for k, t in enumerate(texts):
-            if ODD.search(t) or any(s in t for s in self.special):
-                out[k] = len(self.tok.encode(t, add_special_tokens=False))
-                continue
-            # A piece never holds a non-space and then a space, so such places always divide pieces.
-            head, *rest = t.split(" ")
-            chunks = [head, *(" " + x for x in rest)]
-            if "  " in t or " \n" in t or "\n " in t or "\t" in t or "\r" in t or t[:1].isspace() or t[-1:].isspace():
-                chunks = [t] if len(t) < 200 else BYTE_PIECES.findall(t)
-            todo.append((k, Counter(chunks)))
-        if len(self) > MOST:
-            self.clear()
-        new = list({c for _, f in todo for c in f if c not in self})
-        self.learn(new)
-        for k, f in todo:
-            out[k] = sum(self[c] * n for c, n in f.items())
+        self.tok = load(path)
+        kept = json.loads(self.tok.to_str())
+        before, added = kept.get("pre_tokenizer") or {}, list(self.tok.get_added_tokens_decoder().values())
+        #: Other files' rules are not known here: a whole text is one piece then.
+        self.known = kept.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added)
+        self.special = re.compile("(" + "|".join(sorted((re.escape(t.content) for t in added), key=len, reverse=True)) + ")") if added else None
+
+    def plain(self, text: str) -> bool:
+        return self.known and not ODD.search(text) and not (self.special and self.special.search(text))
+
+    def pieces(self, text: str) -> list[str]:
+        if not self.known:
+            return [text] if text else []
+        if self.plain(text):
+            return BYTE_PIECES.findall(text)
+        out: list[str] = []
+        for k, part in enumerate(self.special.split(text) if self.special else [text]):
+            out += [part] if k % 2 else [part[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(part)]
         return out
 
+    def chunks(self, text: str) -> list[str] | None:
+        """Space-delimited chunks, of which pieces() gives the text's pieces; None where spaces may not part pieces."""
+        if not self.plain(text) or "  " in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text or text[:1].isspace() or text[-1:].isspace():
+            return None
+        # A piece never holds a non-space and then a space, so such places always divide pieces.
+        head, *rest = text.split(" ")
+        return [head, *(" " + x for x in rest)]
+
+    def sizes(self, pieces: list[str]) -> list[int]:
+        return list(map(len, self.tok.encode_batch_fast(pieces, add_special_tokens=False)))
+
+
+PIECE = pa.schema([("piece", pa.string()), ("n", pa.int64())])
+
+
+def piece_counter(path: str, least: int = 3):
+    """Texts -> pieces with how often they were met, those met least times in a stretch of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, chunks, pieces = Cutter(path), Counter(), Counter()
+
+        def melt() -> None:
+            for c, n in chunks.items():
+                for p in BYTE_PIECES.findall(c):
+                    pieces[p] += n
+            chunks.clear()
+
+        def out() -> pa.RecordBatch:
+            kept = [(p, n) for p, n in pieces.items() if n >= least]
+            pieces.clear()
+            return batch(PIECE, [[p for p, _ in kept], [n for _, n in kept]])
+
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                for t in b.column(0).slice(at, 500).to_pylist():
+                    found = cutter.chunks(t or "")
+                    if found is None:
+                        pieces.update(cutter.pieces(t or ""))
+                    else:
+                        chunks.update(found)
+                if len(chunks) > MOST:
+                    melt()
+                if len(pieces) > 2 * MOST:
+                    yield out()
+        melt()
+        yield out()
+
+    return run
 
-COUNTED = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n", pa.int64())])
-_counts: dict[str, Counts] = {}
 
+def sizer(path: str):
+    """(piece, n) -> (piece, its tokens)."""
 
-def counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _counts.get(path) or _counts.setdefault(path, Counts(path))
+        cutter = Cutter(path)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                yield batch(COUNTED, [part.column(0), [len(t.encode()) for t in texts], counts.count(texts)])
+            yield batch(PIECE, [b.column(0), cutter.sizes(b.column(0).to_pylist())])
+
+    return run
+
+
+USED = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("n_bytes", pa.int64()), ("base", pa.int64()), ("first", pa.int32()), ("piece", pa.string()), ("n", pa.int64())])
+USED_SQL = "id long, h long, n_bytes long, base long, first int, piece string, n long"
+
+
+def adder(path: str, shared):
+    """(id, text) -> the tokens of the text's frequent pieces, and a row for each of its other pieces with its frequency.
+
+    A text without others has one row with a piece that no text has, so that every text has a first row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, head = Cutter(path), shared.value
+        known: dict[str, tuple[int, tuple]] = {}
+
+        def learn(c: str) -> tuple[int, tuple]:
+            ps = BYTE_PIECES.findall(c)
+            found = known[c] = sum(head.get(p, 0) for p in ps), tuple(p for p in ps if p not in head)
+            return found
+
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                cols: list[list] = [[] for _ in USED]
+                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    t = t or ""
+                    data, base, rare = t.encode(), 0, {}
+                    chunks = cutter.chunks(t)
+                    if chunks is None:
+                        for p, n in Counter(cutter.pieces(t)).items():
+                            if p in head:
+                                base += n * head[p]
+                            else:
+                                rare[p] = n
+                    else:
+                        if len(known) > MOST:
+                            known.clear()
+                        for c, n in Counter(chunks).items():
+                            size, others = known.get(c) or learn(c)
+                            base += n * size
+                            for p in others:
+                                rare[p] = rare.get(p, 0) + n
+                    h = xxhash.xxh3_64_intdigest(data)
+                    if not rare:
+                        rare[f"\0{h}"] = 0
+                    m = len(rare)
+                    for col, x in zip(cols, ([i] * m, [h - (1 << 64) * (h >> 63)] * m, [len(data)] * m, [base] * m, [1] + [0] * (m - 1), rare, rare.values()), strict=True):
+                        col += x
+                if cols[0]:
+                    yield batch(USED, cols)
+
+    return run
+
+
+COUNTED = pa.schema([*list(USED)[:5], ("n", pa.int64())])
+COUNTED_SQL = "id long, h long, n_bytes long, base long, first int, n long"
+
+
+def rare_counter(path: str):
+    """Rows sorted by piece -> frequency times tokens; each piece is encoded once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, last = Cutter(path), (None, 0)
+        for b in batches:
+            piece, n = b.column(5), np.asarray(b.column(6))
+            new = np.ones(len(piece), bool)
+            new[1:] = np.asarray(pc.not_equal(piece.slice(1), piece.slice(0, len(piece) - 1)))
+            names = piece.take(pa.array(np.flatnonzero(new))).to_pylist()
+            known = names[:1] == [last[0]]
+            sizes = [last[1]] * known + cutter.sizes(names[known:])
+            if names:
+                last = (names[-1], sizes[-1])
+                yield batch(COUNTED, [*b.columns[:5], n * np.array(sizes, np.int64)[np.cumsum(new) - 1]])
 
     return run
 
@@ -99,11 +211,21 @@ def counter(path: str):
 def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for each row, as the tokenizer file at path counts whole texts.
 
-    Nulls count as empty; null ids stay null; repeated rows each give a row; empty tables give none.
+    Nulls count as empty; null ids stay null; repeated rows each give a row; very long texts are one row like others;
+    other columns are ignored; empty tables give none.
     """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = src.mapInArrow(counter(path), "id long, n_bytes long, n long")
-    return out.select(F.col("id").alias(id_col), "n_bytes", F.col("n").alias("n_tokens"), (F.col("n") > limit).alias("over_limit"))
+    met = src.select("text").mapInArrow(tidy(piece_counter(path)), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    # HEAD rows at most, whatever the corpus
+    head = met.orderBy(F.desc("n"), "piece").limit(HEAD).repartition(parts).mapInArrow(tidy(sizer(path)), "piece string, n long")
+    shared = spark.sparkContext.broadcast({r["piece"]: r["n"] for r in head.collect()})
+    used = src.mapInArrow(tidy(adder(path, shared)), USED_SQL)
+    counted = used.repartition(parts, "piece").sortWithinPartitions("piece").mapInArrow(tidy(rare_counter(path)), COUNTED_SQL)
+    by_row = counted.groupBy("id", "h", "n_bytes", "base").agg(F.sum("first").alias("copies"), F.sum("n").alias("n"))
+    out = by_row.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("n_tokens", F.col("base") + (F.col("n") / F.col("copies")).cast("long"))
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 class Ids(dict):
@@ -135,10 +257,3 @@ class Ids(dict):
         if ODD.search(text) or "<|" in text:
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.lower().split()))
-
-
-_ids: dict[str, Ids] = {}
-
-
-def ids_of(path: str) -> Ids:
-    return _ids.get(path) or _ids.setdefault(path, Ids(path))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, tidy
 from .extraction import lines
 
 CRLF = b"\r\n"
@@ -172,7 +172,7 @@ def derivatives(records: DataFrame, key_col: str = "key", record_col: str = "rec
     repeat its derivatives, with the same ids. A response that isn't text has a metadata record only.
     """
     src = records.select(F.col(key_col).cast("long").alias("key"), F.col(record_col).alias("record"))
-    return src.mapInArrow(deriver, ", ".join(f"{k} {v}" for k, v in DERIVED))
+    return src.mapInArrow(tidy(deriver), ", ".join(f"{k} {v}" for k, v in DERIVED))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -195,4 +195,4 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield batch(schema, [b.column(0), made])
 
     src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return src.mapInArrow(run, "key long, record binary")
+    return src.mapInArrow(tidy(run), "key long, record binary")

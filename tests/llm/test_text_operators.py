@@ -106,14 +106,34 @@ def test_token_counts(docs, rows):
     assert got == {i: (*x, x[1] > 512) for i, x in want.items()}
 
 
+def test_token_counts_of_rare_pieces_and_repeated_rows(spark, rows, monkeypatch):
+    """All pieces but a few are dealt; odd characters, repeated rows, null ids and clashing names."""
+    from pyspark.sql import functions as F
+
+    from spindle.llm import tokens as operator
+
+    monkeypatch.setattr(operator, "HEAD", 10)
+    path = tokens.path("byte_bpe_50k.json")
+    lib = operator.load(path)
+    more = [*rows, *rows[:9], (None, "it\u2019s \u65e5\u672c x"), (None, None), (7001, "a <|endoftext|> b"), (7002, "curly \u2019quote\u2019 " * 400)]
+    df = spark.createDataFrame(more, DOCS).select("*", F.lit(1).alias("id"), F.lit(1).alias("n"), F.lit("x").alias("piece"), F.lit("x").alias("copies"), F.lit(2).alias("h"))
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in operator.token_counts(df, path).collect()), key=str)
+    assert got == sorted(((i, len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in more), key=str)
+
+
 def test_fast_paths_are_the_library():
-    from spindle.llm.tokens import Counts, Ids
+    from spindle.llm.tokens import Cutter, Ids
 
     rng = random.Random(5)
     odd = ["", " ", "a  b", " \n x\n\n y ", "it's don't <|endoftext|> x", "naïve ÷ × 12 345", "日本語", "\tx\r\n y", "İs ŒŁ", "a\x1cb c\x85d", "don'T I'LL 'S", "é", "x y"]
     odd += ["".join(rng.choice("ab 1'\n.é,  s\t") for _ in range(60)) for _ in range(200)]
-    counts, ids = Counts(tokens.path("byte_bpe_50k.json")), Ids(tokens.path("word_bpe_49k.json"))
-    assert counts.count(odd) == [len(counts.tok.encode(t, add_special_tokens=False)) for t in odd]
+    cutter, ids = Cutter(tokens.path("byte_bpe_50k.json")), Ids(tokens.path("word_bpe_49k.json"))
+    assert cutter.known
+    for t in odd:
+        assert "".join(cutter.pieces(t)) == t
+        assert sum(cutter.sizes(cutter.pieces(t))) == len(cutter.tok.encode(t, add_special_tokens=False))
+        if (chunks := cutter.chunks(t)) is not None:
+            assert [p for c in chunks for p in cutter.pieces(c)] == cutter.pieces(t)
     assert [ids.encode(t) for t in odd] == [ids.whole(t) for t in odd]
 
 
