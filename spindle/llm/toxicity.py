@@ -1,10 +1,12 @@
 """Toxicity by compression distance: windows of a text are compressed against two zstandard dictionaries.
 
-One dictionary holds ordinary text; the other holds the same and, in front, text that toxic documents use and ordinary
-ones do not. Where a window compresses shorter with the second by some bytes, it repeats toxic text. Both share their
-ordinary part, so that windows of ordinary text differ by nothing, whatever language they are in. A document's
-windows cover all of its words; the calibrated threshold is a logistic function of the differences' mean, largest
-values and counts, fitted on labelled documents that the dictionaries have not seen.
+Two dictionaries are made by zstandard's trainer: one of windows of ordinary documents, one of toxic text, which is
+every use, in toxic documents, of words with pieces that these have far more often than ordinary ones do. Windows are
+compressed with the ordinary dictionary, and with the toxic one in front of it: where the second is shorter by some
+bytes, a window repeats toxic text. Both share the ordinary part, so that windows of ordinary text differ by nothing,
+whatever language they are in. A document's windows cover all of its words; the calibrated threshold is a logistic
+function of the differences' mean, largest values and counts, fitted on labelled documents that the dictionaries have
+not seen.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts
+from .common import batch, texts, tidy
 
 WINDOW = 10
-#: Bytes of the ordinary dictionary, and of what the toxic one has in front.
+#: Bytes of the ordinary dictionary and of the toxic one.
 ORDINARY, TOXIC = 30_000, 6_000
 #: Length of the pieces by which toxic words are recognised.
 GRAM = 5
@@ -95,8 +97,22 @@ def pieces(text: bytes) -> set[bytes]:
     return {w[i : i + GRAM] for w in set(words(text)) for i in range(len(w) - GRAM + 1)}
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], prior: float) -> Model | None:
-    """Dictionaries from two thirds of the samples, thresholds from the last third; prior: share of toxic labels."""
+def windows(text: bytes) -> list[bytes]:
+    w = words(text)
+    return [b" ".join(w[i : i + WINDOW]) for i in range(0, len(w), WINDOW)]
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary of samples by the trainer; samples that are too few for it are the dictionary themselves."""
+    try:
+        return zstd.train_dictionary(size, samples).as_bytes()
+    except zstd.ZstdError:
+        return b" ".join(dict.fromkeys(samples))[:size]
+
+
+def fit(toxic: list[bytes], ordinary: list[bytes], prior: float, most: int = 60_000) -> Model | None:
+    """Dictionaries from two thirds of the samples, thresholds from the last third; prior: share of toxic labels;
+    most: ordinary windows that the trainer gets."""
     toxic, ordinary = distinct(toxic), distinct(ordinary)
     if len(toxic) < 3 or len(ordinary) < 3:
         return None
@@ -105,16 +121,10 @@ def fit(toxic: list[bytes], ordinary: list[bytes], prior: float) -> Model | None
     seen_t = Counter({p: n for p, n in seen_t.items() if n >= max(3, 0.01 * cut_t)})
     seen_o: Counter = Counter(p for t in ordinary[:cut_o] for p in pieces(t) if p in seen_t)
     own = {p for p, n in seen_t.items() if n / cut_t > 20 * (seen_o[p] + 0.25) / cut_o}
-    marked = Counter(w for t in toxic[:cut_t] for w in set(words(t)) if any(w[i : i + GRAM] in own for i in range(len(w) - GRAM + 1)))
-    held, size = [], 0
-    for w, _ in sorted(marked.items(), key=lambda x: (-x[1], x[0])):
-        size += len(w) + 1
-        if size > TOXIC:
-            break
-        held.append(w)
-    share = 1500
-    base = b" ".join(b" ".join(words(t))[:share] for t in ordinary[:400])[:ORDINARY]
-    model = Model(b" ".join(held[::-1]), base, [], [], [])
+    used = [b" %s " % w for t in toxic[:cut_t] for w in words(t) if any(w[i : i + GRAM] in own for i in range(len(w) - GRAM + 1))]
+    plain = sorted(w for t in ordinary[:cut_o] for w in windows(t))
+    plain = [plain[k] for k in np.random.default_rng(9).permutation(len(plain))[:most]]
+    model = Model(trained(used, TOXIC), trained(plain, ORDINARY), [], [], [])
     c = model.compressors()
     x = np.array([features(gains(t, c)) for t in [*toxic[cut_t:], *ordinary[cut_o:]]])
     y = np.repeat([1.0, 0.0], [len(toxic) - cut_t, len(ordinary) - cut_o])
@@ -138,14 +148,14 @@ SCORED = pa.schema([("id", pa.int64()), ("score", pa.float64())])
 def scorer(model: Model | None, prior: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = model.compressors() if model else []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if model is None:
-                yield batch(SCORED, [b.column(0), np.full(b.num_rows, prior)])
-            else:
-                x = np.array([features(gains(t or b"", c)) for t in texts(b.column(1))])
-                yield batch(SCORED, [b.column(0), model.score(x)])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                b = whole.slice(k, 1000)
+                if model is None:
+                    yield batch(SCORED, [b.column(0), np.full(b.num_rows, prior)])
+                else:
+                    x = np.array([features(gains(t or b"", c)) for t in texts(b.column(1))])
+                    yield batch(SCORED, [b.column(0), model.score(x)])
 
     return run
 
@@ -172,27 +182,30 @@ def score(docs: DataFrame, trained: tuple[Model | None, float], id_col: str = "d
     """(id, score, predicted) for each row. Null and empty texts have no windows and score as such texts do; without
     labels of both kinds every row scores the share of toxic labels (0 without labels). Rows are scored one by one."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = src.mapInArrow(scorer(*trained), "id long, score double")
+    out = src.mapInArrow(tidy(scorer(*trained)), "id long, score double")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def held_out(col) -> F.col:
-    """Rows kept from training: crc32 of the id as text divides by 5."""
-    return F.crc32(col.cast("string").cast("binary")) % 5 == 0
+    """Rows kept from training: crc32 of the id as text divides by 5. False for a null id."""
+    return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def keep_clean(docs: DataFrame, trained: tuple[Model | None, float], text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that are not predicted toxic."""
+    """The rows of docs, all columns, that are not predicted toxic. Null and empty texts score as texts without windows
+    do; without labels of both kinds all rows stay, or go where at least half of the labels are toxic."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, prior = trained
         c = model.compressors() if model else []
-        for b in batches:
-            if b.num_rows and model:
-                b = b.filter(pa.array(model.score(np.array([features(gains(t or b"", c)) for t in texts(b.column(at))])) < 0.5))
-            elif prior >= 0.5:
-                b = b.slice(0, 0)
-            yield b
-
-    return docs.mapInArrow(run, docs.schema)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                b = whole.slice(k, 1000)
+                if model:
+                    b = b.filter(pa.array(model.score(np.array([features(gains(t or b"", c)) for t in texts(b.column(at))])) < 0.5))
+                elif prior >= 0.5:
+                    b = b.slice(0, 0)
+                yield b
+
+    return docs.mapInArrow(tidy(run), docs.schema)
