@@ -4,13 +4,17 @@ A window is `width` consecutive symbols (bytes or words) of one document. Window
 
 1. Every window is named after the smallest hash among its `gram`-symbol pieces. Equal windows have equal names, and
    neighbouring windows mostly share one, so a document is a short list of runs (name, digest of the run's region).
-2. Runs are dealt by name. Runs with equal regions repeat whole; a name that one document alone has is done with.
+2. Runs are dealt by name. Runs with equal regions repeat whole, which most tasks settle among their own texts before
+   dealing; a name that one document alone has is done with.
 3. Only regions whose name also occurs with another region are left: they are where a passage begins or ends. Their
-   symbols go to the shard of their name, and an index of the shard's regions (a suffix automaton for words, a
-   run-length BWT for bytes) streams them to find which windows a smaller document has as well.
-4. The removed windows of each document become spans of symbols.
+   symbols go to the shard of their name. An index of the shard's regions gives the matching statistics of those that
+   stream past it: a suffix automaton for words, a run-length Burrows-Wheeler transform with sampled run ends for bytes.
+4. A name with more regions than an index should hold is refined: its windows get names by another order of their
+   pieces, and at last by all their symbols, and go through steps 2 and 3 again.
+5. The removed windows of each document become spans of symbols.
 
 Work follows the input: each step is one shuffle of what is still open, and a passage shared by n documents costs n rows.
+Equal windows, runs and regions are recognised in steps 1, 2 and 4 by 64-bit hashes, in step 3 by their symbols.
 """
 
 from __future__ import annotations
@@ -18,20 +22,24 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, batch, mix, texts, tidy
+from .common import Scratch, WordHash, batch, mix, texts, tidy, union
 
 _B = 0xD1342543DE82EF95
 _BI = pow(_B, -1, 2**64)
 _K = np.random.default_rng(30).integers(1, 2**63, size=64, dtype=np.uint64) | np.uint64(1)
 SEGMENT = 1 << 19
-#: Regions that a shard's index holds at once: of words, of bytes.
-CHUNK = {False: 2_000, True: 20_000}
+#: Regions that an index holds: of words, of bytes. A name with more of them is refined.
+CHUNK = {False: 2_000, True: 8_000}
+#: Ways to name a window, from coarse to fine: by its pieces, by another order of them, by all its symbols.
+PIECES, OTHER, WHOLE = range(3)
 
 
 @dataclass(frozen=True)
@@ -95,160 +103,337 @@ def inside(offs: np.ndarray, total: int, width: int) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
-def runs(data: np.ndarray, offs: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
-    """(name, digest, text, start in data, windows) of each run."""
+def runs(data: np.ndarray, offs: np.ndarray, kind: Kind, names: int = PIECES) -> tuple[np.ndarray, ...]:
+    """(name, digest, text, start in data, windows) of each run; of words, marked with ITSELF if its piece comes again."""
     total = len(data) - kind.width + 1
     h, tail, g = prefix(data, kind)
-    m, ok = smallest(g, kind.width - kind.gram + 1), inside(offs, total, kind.width)
-    new = ok.copy()
-    new[1:] &= ~ok[:-1] | (m[1:] != m[:-1])
-    st = np.flatnonzero(new)
-    stops = np.append(np.flatnonzero(new | ~ok), total)
-    n = stops[np.searchsorted(stops, st, "right")] - st
+    ok = inside(offs, total, kind.width)
+    if names == WHOLE:
+        st = np.flatnonzero(ok)
+        n = np.ones(len(st), np.int64)
+    else:
+        m = smallest(g if names == PIECES else mix(g ^ _K[40]), kind.width - kind.gram + 1)
+        new = ok.copy()
+        new[1:] &= ~ok[:-1] | (m[1:] != m[:-1])
+        st = np.flatnonzero(new)
+        stops = np.append(np.flatnonzero(new | ~ok), total)
+        n = stops[np.searchsorted(stops, st, "right")] - st
     c = mix((h[st + n - 1 + kind.width - tail] - h[st]) * powers(_BI, len(h))[st] + n.astype(np.uint64))
-    return m[st], c, np.searchsorted(offs, st, "right") - 1, st, n
+    if not kind.byte and names != WHOLE and len(st):
+        order, size = (g if names == PIECES else mix(g ^ _K[40])), n + kind.width - kind.gram
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(st - ends + size, size)
+        n = n | np.where(np.add.reduceat((order[at] == np.repeat(m[st], size)).astype(np.int64), ends - size) > 1, ITSELF, 0)
+    return c if names == WHOLE else m[st], c, np.searchsorted(offs, st, "right") - 1, st, n
 
 
-RUN = pa.schema([("m", pa.int64()), ("c", pa.int64()), ("id", pa.int64()), ("v", pa.int64())])
-#: A run's start and windows in one number.
+RUN = pa.schema([("m", pa.int64()), ("c", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("v", pa.int64())])
+RUN_SQL = "m long, c long, id long, h long, v long"
+#: A run's start and windows in one number, and whether its windows may repeat each other.
 SHIFT = 24
+WINDOWS, ITSELF = (1 << SHIFT - 1) - 1, 1 << SHIFT - 1
+
+
+def repeats_of(first: np.ndarray, cols: tuple[np.ndarray, ...], kind: Kind) -> np.ndarray:
+    """Which rows of (m, c, id, h, v), sorted, have their region earlier: in a smaller document (first: the smallest that
+    has it), or, of words, further up in the same document."""
+    again = cols[2] > first
+    if not kind.byte:
+        again[1:] |= np.logical_and.reduce([x[1:] == x[:-1] for x in cols[:4]])
+    return again
 
 
-def run_maker(kind: Kind):
-    """(id, text) -> the runs of all texts, v = start << SHIFT | windows. Long texts go in overlapping segments."""
+def run_maker(kind: Kind, names: int = PIECES):
+    """(id, h, text, spans) -> the runs of all texts, v = start << SHIFT | windows. Long texts go in overlapping segments.
+
+    spans: runs whose windows are to be named anew; None for whole texts. Runs that repeat others of the same batch have
+    no name any more: they are settled.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHash()
 
-        def out(parts: list) -> pa.RecordBatch | None:
-            data = np.concatenate([p[2] for p in parts])
-            offs = np.cumsum([0, *(len(p[2]) for p in parts)])
-            m, c, t, st, n = runs(data, offs, kind)
-            ids, base = np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64)
-            return batch(RUN, [m.view(np.int64), c.view(np.int64), ids[t], ((base[t] + st - offs[t]) << SHIFT) | n])
+        def out(parts: list) -> pa.RecordBatch:
+            data = np.concatenate([p[3] for p in parts])
+            offs = np.cumsum([0, *(len(p[3]) for p in parts)])
+            m, c, t, st, n = runs(data, offs, kind, names)
+            ids, hs, base = (np.array([p[k] for p in parts], np.int64) for k in range(3))
+            cols = m.view(np.int64), c.view(np.int64), ids[t], hs[t], ((base[t] + st - offs[t]) << SHIFT) | n
+            order = np.lexsort(cols[::-1])
+            cols = tuple(x[order] for x in cols)
+            new = np.ones(len(order), bool)
+            new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+            first = cols[2][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+            again = repeats_of(first, cols, kind)
+            return batch(RUN, [pa.array(cols[0], mask=again), *cols[1:]])
 
         for b in batches:
             parts, held = [], 0
-            for i, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
+            spans = b.column(3).to_pylist() if b.num_columns > 3 else [None] * b.num_rows
+            for i, hash_, t, vs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), spans, strict=True):
                 s = symbols(t or b"", kind, seen)
                 if i is None or len(s) < kind.width:
                     continue
-                for at in range(0, len(s) - kind.width + 1, SEGMENT):
-                    parts.append((i, at, s[at : at + SEGMENT + kind.width - 1]))
-                    held += len(parts[-1][2])
-                    if held >= SEGMENT:
-                        yield out(parts)
-                        parts, held = [], 0
+                for lo, n in [(0, len(s) - kind.width + 1)] if vs is None else [(v >> SHIFT, v & WINDOWS) for v in vs]:
+                    for at in range(lo, lo + n, SEGMENT):
+                        parts.append((i, hash_, at, s[at : min(at + SEGMENT, lo + n) + kind.width - 1]))
+                        held += len(parts[-1][3])
+                        if held >= SEGMENT:
+                            yield out(parts)
+                            parts, held = [], 0
             if parts:
                 yield out(parts)
 
     return make
 
 
-OPEN = pa.schema([("id", pa.int64()), ("v", pa.int64()), ("m", pa.int64())])
+OPEN = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("v", pa.int64()), ("m", pa.int64())])
+OPEN_SQL = "id long, h long, v long, m long"
 
 
-def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by (m, c, id) -> those that repeat whole (m null) and those still open.
+def settle(kind: Kind):
+    """Runs sorted by (m, c, id, h, v) -> those that repeat whole (m null) and those still open.
 
-    A run repeats whole if a smaller document has its (m, c). A run is open if its name occurs in another document with
-    another region. Names are handled when all their rows are here, or piecewise when a name has very many.
+    A run repeats whole if its region occurs earlier. A run is open if its name occurs with another region, for bytes in
+    another document, or if its own windows may repeat. Names are handled when all their rows are here, or piecewise when a name has very many.
     """
-    rest, prev = None, None  # prev: (m, c, id) of the last region's first row, where its name is still going on
-
-    def done(cols: tuple[np.ndarray, ...], whole: bool) -> pa.RecordBatch | None:
-        nonlocal prev
-        m, c, i, v = cols
-        step_m, step = np.ones(len(m), bool), np.ones(len(m), bool)
-        step_m[1:] = m[1:] != m[:-1]
-        step[1:] = step_m[1:] | (c[1:] != c[:-1])
-        at = np.maximum.accumulate(np.where(step, np.arange(len(m)), 0))
-        first = i[at]
-        known = prev is not None and prev[0] == m[0]
-        if known and prev[1] == c[0]:
-            first[at == 0] = prev[2]
-        again = i > first
-        starts = np.flatnonzero(step_m)
-        lo, hi, kinds = np.minimum.reduceat(i, starts), np.maximum.reduceat(i, starts), np.add.reduceat(step.astype(int), starts)
-        live = (lo < hi) & (kinds > 1)
-        if known or not whole:
-            live[0 if known else -1] = True
-        if not whole:
-            live[-1] = True
-        left = ~again & np.repeat(live, np.diff(np.append(starts, len(m))))
-        prev = None if whole else (m[-1], c[-1], first[-1])
-        pick = again | left
-        if not pick.any():
-            return None
-        return batch(OPEN, [i[pick], v[pick], pa.array(m[pick], mask=again[pick])])
-
-    for b in batches:
-        cols = tuple(np.asarray(x) for x in b.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, prev = None, None  # prev: the first and the last row of the last region, where its name is still going on
+
+        def done(cols: tuple[np.ndarray, ...], whole: bool) -> pa.RecordBatch | None:
+            nonlocal prev
+            m, c, i = cols[:3]
+            step_m, step = np.ones(len(m), bool), np.ones(len(m), bool)
+            step_m[1:] = m[1:] != m[:-1]
+            step[1:] = step_m[1:] | (c[1:] != c[:-1])
+            at = np.maximum.accumulate(np.where(step, np.arange(len(m)), 0))
+            first = i[at]
+            known = prev is not None and prev[1][0] == m[0]
+            if known and prev[1][1] == c[0]:
+                first[at == 0] = prev[0]
+            again = repeats_of(first, cols, kind)
+            if known and not kind.byte:
+                again[0] |= prev[1] == tuple(x[0] for x in cols[:4])
+            starts = np.flatnonzero(step_m)
+            lo, hi, kinds = np.minimum.reduceat(i, starts), np.maximum.reduceat(i, starts), np.add.reduceat(step.astype(int), starts)
+            live = ((lo < hi) | (not kind.byte)) & (kinds > 1)
+            if known:
+                live[0] = True
+            if not whole:
+                live[-1] = True
+            left = ~again & (np.repeat(live, np.diff(np.append(starts, len(m)))) | (cols[4] & ITSELF > 0))
+            prev = None if whole else (first[-1], tuple(x[-1] for x in cols[:4]))
+            pick = again | left
+            if not pick.any():
+                return None
+            return batch(OPEN, [*(x[pick] for x in cols[2:]), pa.array(m[pick], mask=again[pick])])
+
+        for b in batches:
+            named = pc.is_valid(b.column(0))
+            old = b.filter(pc.invert(named))
+            if old.num_rows:
+                yield batch(OPEN, [*old.columns[2:], old.column(0)])
+            b = b.filter(named)
+            if not b.num_rows:
+                continue
+            cols = tuple(np.asarray(x) for x in b.columns)
+            if rest is not None:
+                cols = tuple(np.concatenate(x) for x in zip(rest, cols, strict=True))
+            m = cols[0]
+            cut = int(np.searchsorted(m, m[-1], "left"))
+            if cut:
+                out = done(tuple(x[:cut] for x in cols), True)
+                if out is not None:
+                    yield out
+                cols = tuple(x[cut:] for x in cols)
+            rest = cols
+            if len(rest[0]) > 200_000:
+                out = done(rest, False)
+                if out is not None:
+                    yield out
+                rest = None
         if rest is not None:
-            cols = tuple(np.concatenate(x) for x in zip(rest, cols, strict=True))
-        m = cols[0]
-        cut = int(np.searchsorted(m, m[-1], "left"))
-        if cut:
-            out = done(tuple(x[:cut] for x in cols), True)
+            out = done(rest, True)
             if out is not None:
                 yield out
-            cols = tuple(x[cut:] for x in cols)
-        rest = cols
-        if len(rest[0]) > 200_000:
-            out = done(rest, False)
-            if out is not None:
-                yield out
-            rest = None
-    if rest is not None:
-        out = done(rest, True)
-        if out is not None:
-            yield out
+
+    return run
 
 
-REGION = pa.schema([("m", pa.int64()), ("id", pa.int64()), ("s", pa.int64()), ("x", pa.binary())])
+REGION = pa.schema([("m", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("s", pa.int64()), ("x", pa.binary())])
+REGION_SQL = "m long, id long, h long, s long, x binary"
 
 
 def region_maker(kind: Kind):
-    """(id, text, open runs as v and m) -> the symbols of each open run's region."""
+    """(id, h, text, open runs as v and m) -> the symbols of each open run's region."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [[], [], [], []]
+            cols: list[list] = [[] for _ in REGION]
             held = 0
-            for i, t, v, m in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for i, h, t, v, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 w = t if kind.byte else t.split()
                 for x, name in zip(v, m, strict=True):
-                    s, e = x >> SHIFT, (x >> SHIFT) + (x & ((1 << SHIFT) - 1)) + kind.width - 1
-                    for col, y in zip(cols, (name, i, s, w[s:e] if kind.byte else b" ".join(w[s:e])), strict=True):
+                    s, e = x >> SHIFT, (x >> SHIFT) + (x & WINDOWS) + kind.width - 1
+                    for col, y in zip(cols, (name, i, h, s, w[s:e] if kind.byte else b" ".join(w[s:e])), strict=True):
                         col.append(y)
-                    held += len(cols[3][-1])
+                    held += len(cols[4][-1])
                     if held > 1 << 22:
                         yield batch(REGION, cols)
-                        cols, held = [[], [], [], []], 0
+                        cols, held = [[] for _ in REGION], 0
             if cols[0]:
                 yield batch(REGION, cols)
 
     return make
 
 
-def by_hash(regions: list[bytes], ids: np.ndarray, kind: Kind) -> list[np.ndarray]:
-    """For each region, which of its windows a region of a smaller document has as well; ids ascend within a name."""
-    seen = WordHash()
-    parts = [symbols(x, kind, seen) for x in regions]
-    data, offs = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
-    h, tail, _ = prefix(data, kind)
-    total = len(data) - kind.width + 1
-    at = np.flatnonzero(inside(offs, total, kind.width))
-    key = mix((h[at + kind.width - tail] - h[at]) * powers(_BI, len(h))[at])
-    owner = np.searchsorted(offs, at, "right") - 1
-    order = np.lexsort((ids[owner], key))
-    k, d = key[order], ids[owner][order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    first = d[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-    hit = np.empty(len(k), bool)
-    hit[order] = d > first
-    return np.split(hit, np.cumsum(np.diff(offs) - kind.width + 1)[:-1])
+#: Symbols of a pack, and bits of a symbol: a byte or the end of a region.
+PACK, BITS = 7, 9
+
+
+class RunLengthIndex:
+    """Burrows-Wheeler transform of several byte strings, kept as runs, with the places in the text that its run ends
+    stand for. The ends of strings are in the order of the strings, so that no match crosses them.
+
+    place(row) walks with a match: a row stands for a suffix that begins with what is matched. The rows that share their
+    first `width` symbols are a block, of which the smallest owner is kept.
+    """
+
+    def __init__(self, strings: list[bytes], owners: np.ndarray, width: int):
+        sizes = np.array([len(x) for x in strings]) + 1
+        ends = np.cumsum(sizes) - 1
+        text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
+        text[ends] = 0
+        n = len(text)
+        self.text = np.append(text, np.zeros(width + PACK, np.int64))
+        pack = np.zeros(n, np.int64)
+        for k in range(PACK):
+            pack = pack << BITS | self.text[k : n + k]
+        left = np.repeat(ends, sizes) - np.arange(n)  # symbols before a suffix's end
+        for k in range(1, PACK):  # what stands behind an end doesn't count
+            short = left < k
+            pack[short] = pack[short] >> BITS * (PACK - k) << BITS * (PACK - k)
+        self.pack = np.append(pack, np.zeros(width + PACK, np.int64))
+        rows = self.sort(pack, left)
+        before = text[rows - 1]
+        before[rows == 0] = 0
+        # the runs: first row, symbol, rows of that symbol before, place of the first and the last row
+        starts = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
+        self.starts, self.heads = starts, before[starts]
+        lengths = np.diff(np.append(starts, n))
+        order = np.lexsort((starts, self.heads))
+        ahead = np.cumsum(lengths[order]) - lengths[order]
+        self.map = np.empty(len(starts), np.int64)
+        self.map[order] = ahead  # symbols before it in the order of symbols: where its first row's predecessor stands
+        self.first, self.last = rows[starts], rows[starts + lengths - 1]
+        self.ends = starts + lengths - 1
+        self.by_head = self.heads[order] * (len(starts) + 1) + order
+        self.order = order
+        # blocks of rows that share `width` symbols
+        same = np.zeros(n, bool)
+        full = np.flatnonzero((left[rows[1:]] >= width) & (left[rows[:-1]] >= width))
+        same[full + 1] = self.shared(rows[full], rows[full + 1], np.full(len(full), width)) >= width
+        self.blocks = np.flatnonzero(~same)
+        self.least = np.minimum.reduceat(np.repeat(owners, sizes)[rows], self.blocks)
+
+    @staticmethod
+    def sort(pack: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Places of the suffixes in their order, by doubling; only those that still tie are sorted again."""
+        n, depth = len(pack), PACK
+        rows = np.argsort(pack, kind="stable")
+        key = pack[rows]
+        new = np.append(True, (key[1:] != key[:-1]) | (left[rows[1:]] < depth) | (left[rows[:-1]] < depth))
+        rank = np.empty(n, np.int64)
+        rank[rows] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        todo = rows[tied]
+        while len(todo):
+            key = rank[todo] * n + rank[todo + depth]
+            by = np.argsort(key)
+            todo, key = todo[by], key[by]
+            group, at = key // n, np.arange(len(todo))
+            new_group, new = np.append(True, group[1:] != group[:-1]), np.append(True, key[1:] != key[:-1])
+            head = np.maximum.accumulate(np.where(new_group, at, 0))
+            rank[todo] = group + np.maximum.accumulate(np.where(new, at, 0)) - head
+            tied = ~new
+            tied[:-1] |= ~new[1:]
+            todo, depth = todo[tied], 2 * depth
+        out = np.empty(n, np.int64)
+        out[rank] = np.arange(n)
+        return out
+
+    def shared(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Symbols that the suffixes at a and b share, at most `most`, of which those of a hold no end."""
+        out, on = np.zeros(len(a), np.int64), np.arange(len(a))
+        while len(on):
+            differ = self.pack[a[on] + out[on]] ^ self.pack[b[on] + out[on]]
+            equal = np.full(len(on), PACK)
+            odd = np.flatnonzero(differ)
+            equal[odd] = np.sum([differ[odd] < 1 << BITS * (PACK - k) for k in range(1, PACK)], axis=0)
+            out[on] += equal
+            on = on[(differ == 0) & (out[on] < most[on])]
+        return np.minimum(out, most)
+
+    def stream(self, strings: list[bytes], owners: np.ndarray, width: int) -> list[np.ndarray]:
+        """Matching statistics of strings, all at once from their ends: which of their windows a smaller owner has."""
+        sizes = np.array([len(x) for x in strings])
+        by = np.argsort(-sizes, kind="stable")
+        data, ends = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1, np.cumsum(sizes)[by]
+        hit, start = np.zeros(len(data), bool), ends - sizes[by]
+        row, place, have = np.zeros(len(by), np.int64), np.full(len(by), self.first[0]), np.zeros(len(by), np.int64)
+        mine, falling = owners[by], -sizes[by]
+        for step in range(int(sizes.max(initial=0))):
+            live = int(np.searchsorted(falling, -step, "left"))  # strings longer than this step
+            r, p, l, c = row[:live], place[:live], have[:live], data[ends[:live] - 1 - step]
+            at = np.searchsorted(self.starts, r, "right") - 1
+            off = np.flatnonzero(self.heads[at] != c)
+            if len(off):
+                want = c[off] * (len(self.starts) + 1) + at[off]
+                k = np.searchsorted(self.by_head, want)
+                up, down = np.minimum(k, len(self.order) - 1), np.maximum(k - 1, 0)
+                after, ahead = self.order[up], self.order[down]
+                good_up, good_down = (k < len(self.order)) & (self.heads[after] == c[off]), (k > 0) & (self.heads[ahead] == c[off])
+                most = l[off]
+                share_up = np.where(good_up, self.shared(p[off], self.first[after], np.where(good_up, most, 0)), -1)
+                share_down = np.where(good_down, self.shared(p[off], self.last[ahead], np.where(good_down, most, 0)), -1)
+                lower = share_down > share_up
+                at[off] = np.where(lower, ahead, after)
+                r[off] = np.where(lower, self.ends[ahead], self.starts[after])
+                p[off] = np.where(lower, self.last[ahead], self.first[after])
+                l[off] = np.maximum(share_up, share_down)
+            none = l < 0
+            r[:] = np.where(none, 0, self.map[at] + r - self.starts[at])
+            p[:] = np.where(none, self.first[0], p - 1)
+            l[:] = np.where(none, 0, np.minimum(l, width - 1) + 1)
+            full = np.flatnonzero(l >= width)
+            if len(full):
+                block = np.searchsorted(self.blocks, r[full], "right") - 1
+                hit[ends[full] - 1 - step] = self.least[block] < mine[full]
+        found = [np.zeros(0, bool)] * len(strings)
+        for k, a, n in zip(by.tolist(), start.tolist(), sizes[by].tolist(), strict=True):
+            found[k] = hit[a : a + n - width + 1]
+        return found
+
+
+def by_run_length(names: np.ndarray, regions: list[bytes], ids: np.ndarray, hs: np.ndarray, kind: Kind) -> list[np.ndarray]:
+    """For each region, which of its windows a region of a smaller document has as well; sorted by (name, id).
+
+    The index holds the regions that a later document may match, and those that an earlier one may have matched stream
+    past it.
+    """
+    new = np.append(True, names[1:] != names[:-1])
+    starts = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    lo, hi = np.minimum.reduceat(ids, starts)[group], np.maximum.reduceat(ids, starts)[group]
+    held, asked = np.flatnonzero(ids < hi), np.flatnonzero(ids > lo)
+    hits = [np.zeros(len(x) - kind.width + 1, bool) for x in regions]
+    if len(asked):
+        index = RunLengthIndex([regions[k] for k in held], ids[held], kind.width)
+        for k, found in zip(asked.tolist(), index.stream([regions[k] for k in asked], ids[asked], kind.width), strict=True):
+            hits[k] = found
+    return hits
 
 
 class Automaton:
@@ -270,37 +455,37 @@ class Automaton:
             p = self.link[p]
         self.link[q] = copy
 
-    def add(self, text: list) -> None:
-        to, link, size, last = self.to, self.link, self.size, 0
-        for c in text:
-            q = to[last].get(c)
-            if q is not None:
-                if size[q] != size[last] + 1:
-                    copy = self._copy(q, size[last] + 1)
-                    self._turn(last, c, q, copy)
-                    q = copy
-                last = q
-                continue
-            cur = len(to)
-            to.append({})
-            size.append(size[last] + 1)
-            link.append(0)
-            p = last
-            while p >= 0 and c not in to[p]:
-                to[p][c] = cur
-                p = link[p]
-            if p >= 0:
-                q = to[p][c]
-                if size[q] != size[p] + 1:
-                    copy = self._copy(q, size[p] + 1)
-                    self._turn(p, c, q, copy)
-                    q = copy
-                link[cur] = q
-            last = cur
-
-    def stream(self, text: list, width: int) -> np.ndarray:
-        """Matching statistics of a text, as which of its windows of that width the automaton's texts hold."""
-        to, link, size, state, have = self.to, self.link, self.size, 0, 0
+    def add(self, last: int, c) -> int:
+        """The state of a text that ends in c, from the state of the text before."""
+        to, link, size = self.to, self.link, self.size
+        q = to[last].get(c)
+        if q is not None:
+            if size[q] != size[last] + 1:
+                copy = self._copy(q, size[last] + 1)
+                self._turn(last, c, q, copy)
+                q = copy
+            return q
+        cur = len(to)
+        to.append({})
+        size.append(size[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and c not in to[p]:
+            to[p][c] = cur
+            p = link[p]
+        if p >= 0:
+            q = to[p][c]
+            if size[q] != size[p] + 1:
+                copy = self._copy(q, size[p] + 1)
+                self._turn(p, c, q, copy)
+                q = copy
+            link[cur] = q
+        return cur
+
+    def stream(self, text: list, width: int, own: bool) -> np.ndarray:
+        """Matching statistics of a text, as which of its windows of that width the automaton's texts hold. own: the
+        text joins the automaton as it goes, so that windows that start earlier in it count as well."""
+        to, link, size, state, have, last = self.to, self.link, self.size, 0, 0, 0
         hit = np.zeros(len(text) - width + 1, bool)
         for end, c in enumerate(text):
             while state and c not in to[state]:
@@ -311,69 +496,77 @@ class Automaton:
                 state, have = nxt, have + 1
                 if have >= width:
                     hit[end - width + 1] = True
+            if own:
+                last = self.add(last, c)
+                while state and size[link[state]] >= have:  # a state was split: the match is of the shorter part
+                    state = link[state]
         return hit
 
 
-def by_automaton(regions: list[bytes], ids: np.ndarray, kind: Kind) -> list[np.ndarray]:
-    """As by_hash: documents, smallest id first, stream past the automaton of those before them, then join it."""
-    if len(regions) > 4 * CHUNK[kind.byte]:
-        return by_hash(regions, ids, kind)  # one name that very many documents have: an automaton of it would not fit
-    index, hits, waiting, now = Automaton(), [np.zeros(0, bool)] * len(regions), [], None
-    for r in np.argsort(ids, kind="stable").tolist():
-        if ids[r] != now:
-            for x in waiting:
-                index.add(x)
-            waiting, now = [], ids[r]
-        x = list(regions[r]) if kind.byte else regions[r].split()
-        hits[r] = index.stream(x, kind.width)
-        waiting.append(x)
+def by_automaton(names: np.ndarray, regions: list[bytes], ids: np.ndarray, hs: np.ndarray, kind: Kind) -> list[np.ndarray]:
+    """As by_run_length; of words, windows of the same document that start earlier count as well. Documents, smallest id
+    first, stream past the automaton of those before them, then join it."""
+    hits = [np.zeros(0, bool)] * len(regions)
+    symbols_of = [list(x) if kind.byte else x.split() for x in regions]
+
+    def grow(index: Automaton, rows: list[int]) -> None:
+        for r in rows:
+            last = 0
+            for c in symbols_of[r]:
+                last = index.add(last, c)
+
+    index, done, order = Automaton(), [], np.lexsort((np.arange(len(ids)), ids)).tolist()
+    for _, rows in groupby(order, key=lambda r: ids[r]):
+        rows = list(rows)
+        versions = [[r for r in rows if hs[r] == h] for h in dict.fromkeys(hs[rows].tolist())]
+        for k, mine in enumerate(versions):
+            if k and not kind.byte:  # another text of the same id: it knows what is before the id, not its fellow
+                index = Automaton()
+                grow(index, done)
+            for r in mine:
+                hits[r] = index.stream(symbols_of[r], kind.width, not kind.byte)
+        if kind.byte:
+            grow(index, rows)
+        elif len(versions) > 1:
+            for mine in versions[:-1]:
+                grow(index, mine)
+        done += rows
     return hits
 
 
-SPAN = pa.schema([("id", pa.int64()), ("v", pa.int64())])
+SPAN = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("v", pa.int64())])
 
 
 def resolver(kind: Kind, index: Callable):
-    """Regions sorted by (m, id) -> runs of windows that a smaller document has, v as in runs."""
+    """Regions sorted by (m, id, h, s) -> runs of windows that occur earlier, v as in runs."""
 
-    def spans(ids: np.ndarray, starts: np.ndarray, hits: list[np.ndarray]) -> pa.RecordBatch | None:
-        out_i, out_v = [], []
-        for i, s, hit in zip(ids.tolist(), starts.tolist(), hits, strict=True):
+    def solve(rows: list[tuple]) -> pa.RecordBatch | None:
+        m, ids, hs, starts = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        out: list[tuple] = []
+        for i, h, s, hit in zip(ids.tolist(), hs.tolist(), starts.tolist(), index(m, [r[4] for r in rows], ids, hs, kind), strict=True):
             if hit.any():
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-                for a, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    out_i.append(i)
-                    out_v.append((s + a) << SHIFT | (e - a))
-        return batch(SPAN, [out_i, out_v]) if out_i else None
+                out += [(i, h, (s + a) << SHIFT | (e - a)) for a, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+        return batch(SPAN, list(zip(*out, strict=True))) if out else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: list[int] = []
-        rows: list[tuple[int, int, bytes]] = []
-
-        def flush(n: int) -> pa.RecordBatch | None:
-            ids, starts = np.array([r[0] for r in rows[:n]], np.int64), np.array([r[1] for r in rows[:n]], np.int64)
-            out = spans(ids, starts, index([r[2] for r in rows[:n]], ids, kind))
-            del rows[:n], m[:n]
-            return out
-
+        rows: list[tuple] = []
+        name: list[tuple] = []  # rows of the name that goes on
         for b in batches:
-            m += b.column(0).to_pylist()
-            rows += zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
-            size = CHUNK[kind.byte]
-            while len(m) >= size:
-                # up to the last name that is whole within so many rows; a larger name goes as one
-                n = size
-                while n and m[n - 1] == m[min(n, len(m) - 1)]:
-                    n -= 1
-                if not n:
-                    n = next((k for k in range(size, len(m)) if m[k] != m[0]), 0)
-                    if not n:
-                        break
-                out = flush(n)
-                if out is not None:
-                    yield out
+            for at in range(0, b.num_rows, 2000):
+                for r in zip(*(c.to_pylist() for c in b.slice(at, 2000).columns), strict=True):
+                    if name and name[0][0] != r[0]:
+                        if rows and len(rows) + len(name) > CHUNK[kind.byte]:
+                            out = solve(rows)
+                            if out is not None:
+                                yield out
+                            rows = []
+                        rows += name
+                        name = []
+                    name.append(r)
+        rows += name
         if rows:
-            out = flush(len(rows))
+            out = solve(rows)
             if out is not None:
                 yield out
 
@@ -385,7 +578,7 @@ def merged(v: np.ndarray, width: int) -> np.ndarray:
     if not len(v):
         return np.zeros((0, 2), np.int64)
     v = np.sort(v)
-    s, e = v >> SHIFT, (v >> SHIFT) + (v & ((1 << SHIFT) - 1)) + width - 1
+    s, e = v >> SHIFT, (v >> SHIFT) + (v & WINDOWS) + width - 1
     e = np.maximum.accumulate(e)
     new = np.append(True, s[1:] > e[:-1])
     at = np.flatnonzero(new)
@@ -393,36 +586,54 @@ def merged(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def repeated_runs(docs: DataFrame, kind: Kind, index: Callable) -> DataFrame:
-    """docs(id, text) -> (id, vs): for each document with any, the runs of windows that a document of a smaller id has."""
+    """docs(id, h, text) -> (id, h, vs): for each document with any, the runs of windows that occur earlier."""
     scratch = Scratch(docs.sparkSession)
-    made = docs.mapInArrow(tidy(run_maker(kind)), "m long, c long, id long, v long")
-    settled = scratch.keep(made.repartition("m").sortWithinPartitions("m", "c", "id", "v").mapInArrow(tidy(settle), "id long, v long, m long"))
-    del made
-    scratch.sweep()
-    mine = settled.where("m is not null").groupBy("id").agg(F.collect_list(F.struct("v", "m")).alias("r")).select("id", F.col("r.v").alias("v"), F.col("r.m").alias("m"))
-    region = docs.join(mine, "id").select("id", "text", "v", "m").mapInArrow(tidy(region_maker(kind)), "m long, id long, s long, x binary")
-    found = scratch.keep(region.repartition("m").sortWithinPartitions("m", "id").mapInArrow(tidy(resolver(kind, index)), "id long, v long"))
-    del mine, region
-    scratch.sweep()
-    return settled.where("m is null").select("id", "v").unionByName(found).groupBy("id").agg(F.collect_list("v").alias("vs"))
-
-
-def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    settled, found, src = [], [], docs
+    for names in (PIECES, OTHER, WHOLE):
+        made = src.mapInArrow(tidy(run_maker(kind, names)), RUN_SQL)
+        # a settled run has no name and may go anywhere
+        dealt = made.repartition(F.coalesce("m", F.xxhash64("id", "v"))).sortWithinPartitions("m", "c", "id", "h", "v")
+        now = scratch.keep(dealt.mapInArrow(tidy(settle(kind)), OPEN_SQL))
+        del made, dealt
+        scratch.sweep()
+        settled.append(now.where("m is null").select("id", "h", "v"))
+        left = now.where("m is not null")
+        if names == WHOLE:
+            break
+        crowded = scratch.keep(left.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK[kind.byte]).select("m"))
+        again = bool(crowded.limit(1).count())
+        mine = left.join(crowded, "m", "left_anti") if again else left
+        mine = mine.groupBy("id", "h").agg(F.collect_list(F.struct("v", "m")).alias("r")).select("id", "h", F.col("r.v").alias("v"), F.col("r.m").alias("m"))
+        region = docs.join(mine, ["id", "h"]).select("id", "h", "text", "v", "m").mapInArrow(tidy(region_maker(kind)), REGION_SQL)
+        found.append(scratch.keep(region.repartition("m").sortWithinPartitions("m", "id", "h", "s").mapInArrow(tidy(resolver(kind, index)), "id long, h long, v long")))
+        del mine, region
+        scratch.sweep()
+        if not again:
+            break
+        rest = left.join(crowded, "m", "left_semi").groupBy("id", "h").agg(F.collect_list("v").alias("vs"))
+        src = docs.join(rest, ["id", "h"]).select("id", "h", "text", "vs")
+    return union([*settled, *found]).groupBy("id", "h").agg(F.collect_list("v").alias("vs"))
+
+
+def versioned(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(id, h, text), and whether texts share an id: h tells these apart, and is 0 for all where no two do."""
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts_of = src.where("id is not null").groupBy("id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
+    several = bool(texts_of.where("lo <> hi").limit(1).count())
+    return src.select("id", (F.xxhash64("text") if several else F.lit(0).cast("long")).alias("h"), "text"), several
 
 
 KEPT = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("removed", pa.int64()), ("spans", pa.int64()), ("sha", pa.string())])
 
 
-def keeper(kind: Kind, own: bool):
-    """(id, text, vs) -> sizes and the digest of what is kept. own: windows that start earlier in the same text go too."""
+def keeper(kind: Kind):
+    """(id, text, vs) -> sizes and the digest of what is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHash()
         for b in batches:
-            cols = [[], [], [], []]
+            cols: list[list] = [[], [], [], []]
             for t, vs in zip(texts(b.column(1)), b.column(2).to_pylist(), strict=True):
-                n, gone, kept = cut(t or b"", vs, kind, own, seen)
+                n, gone, kept = cut(t or b"", vs, kind)
                 for col, x in zip(cols, (n, int((gone[:, 1] - gone[:, 0]).sum()), len(gone), hashlib.sha256(kept).hexdigest()), strict=True):
                     col.append(x)
             yield batch(KEPT, [b.column(0), *cols])
@@ -430,19 +641,10 @@ def keeper(kind: Kind, own: bool):
     return run
 
 
-def cut(text: bytes, vs: list[int] | None, kind: Kind, own: bool, seen: WordHash) -> tuple[int, np.ndarray, bytes]:
+def cut(text: bytes, vs: list[int] | None, kind: Kind) -> tuple[int, np.ndarray, bytes]:
     """Symbols of a text, the spans removed from it, and what is left."""
     w = text if kind.byte else text.split()
-    v = np.array(vs or [], np.int64)
-    if own and len(w) > kind.width:
-        h, _, _ = prefix(seen.array(w), kind)
-        at = np.arange(len(w) - kind.width + 1)
-        key = mix((h[at + kind.width] - h[at]) * powers(_BI, len(h))[at])
-        _, first = np.unique(key, return_index=True)
-        later = np.ones(len(at), bool)
-        later[first] = False
-        v = np.append(v, np.flatnonzero(later) << SHIFT | 1)
-    gone = merged(v, kind.width)
+    gone = merged(np.array(vs or [], np.int64), kind.width)
     kept, at = [], 0
     for s, e in gone.tolist():
         kept.append(w[at:s])
@@ -451,44 +653,46 @@ def cut(text: bytes, vs: list[int] | None, kind: Kind, own: bool, seen: WordHash
     return len(w), gone, b"".join(kept) if kind.byte else b" ".join([x for part in kept for x in part])
 
 
+def dedup(docs: DataFrame, kind: Kind, index: Callable, id_col: str, text_col: str, size: str) -> DataFrame:
+    src, _ = versioned(docs, id_col, text_col)
+    out = src.join(repeated_runs(src.where("id is not null and text is not null"), kind, index), ["id", "h"], "left")
+    out = out.select("id", "text", "vs").mapInArrow(tidy(keeper(kind)), "id long, n long, removed long, spans long, sha string")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias(size), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+
+
 def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Callable = by_automaton) -> DataFrame:
     """(id, n_words, n_removed, n_spans, kept_sha256): words of windows that start earlier in the corpus are removed.
 
     Earlier is a smaller id, or an earlier start in the same text. Null texts have no words. Rows with a null id are
-    compared with themselves only. Rows that repeat an id with its text get the same result. Empty tables give none.
+    kept whole. Rows that repeat an id with its text get the same result; rows that repeat it with other texts are
+    documents of their own, none earlier than the other. Other columns are ignored. Empty tables give none.
     """
-    src = prepared(docs, id_col, text_col)
-    out = src.join(repeated_runs(src.where("id is not null and text is not null"), WORDS, index), "id", "left")
-    out = out.select("id", "text", "vs").mapInArrow(tidy(keeper(WORDS, True)), "id long, n long, removed long, spans long, sha string")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    return dedup(docs, WORDS, index, id_col, text_col, "n_words")
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Callable = by_hash) -> DataFrame:
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Callable = by_run_length) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256): bytes of 50-byte strings that start in a smaller id's text are removed.
 
-    Null texts are empty. Rows with a null id are kept whole. Rows that repeat an id with its text get the same result.
-    Empty tables give none.
+    Null texts are empty. Rows with a null id are kept whole. Rows that repeat an id, with its text or another, are none
+    earlier than the other. Other columns are ignored. Empty tables give none.
     """
-    src = prepared(docs, id_col, text_col)
-    out = src.join(repeated_runs(src.where("id is not null and text is not null"), BYTES, index), "id", "left")
-    out = out.select("id", "text", "vs").mapInArrow(tidy(keeper(BYTES, False)), "id long, n long, removed long, spans long, sha string")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    return dedup(docs, BYTES, index, id_col, text_col, "n_bytes")
 
 
-def strip_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Callable = by_hash) -> DataFrame:
+def strip_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Callable = by_run_length) -> DataFrame:
     """The rows of docs, all columns, their texts without what dedup_bytes removes. A character that is cut in part goes
     whole. Nulls stay null, rows with a null id stay as they are."""
-    src = prepared(docs, id_col, text_col).where("id is not null and text is not null")
-    vs = repeated_runs(src, BYTES, index).select(F.col("id").alias("__spindle_id"), F.col("vs").alias("__spindle_vs"))
-    joined = docs.join(vs, F.col(id_col) == F.col("__spindle_id"), "left").drop("__spindle_id")
+    src, several = versioned(docs, id_col, text_col)
+    vs = repeated_runs(src.where("id is not null and text is not null"), BYTES, index).toDF("__spindle_id", "__spindle_h", "__spindle_vs")
+    same = F.col(id_col).cast("long") == F.col("__spindle_id")
+    joined = docs.join(vs, same & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__spindle_h")) if several else same, "left")
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHash()
         for b in batches:
-            new = [None if t is None else t.decode() if not vs else cut(t, vs, BYTES, False, seen)[2].decode("utf-8", "ignore") for t, vs in zip(texts(b.column(at)), b.column(len(names)).to_pylist(), strict=True)]
+            new = [None if t is None else t.decode() if not vs else cut(t, vs, BYTES)[2].decode("utf-8", "ignore") for t, vs in zip(texts(b.column(at)), b.column(len(names)).to_pylist(), strict=True)]
             columns = list(b.columns[: len(names)])
             columns[at] = pa.array(new, type=pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(tidy(run), docs.schema)
+    return joined.select(*names, "__spindle_vs").mapInArrow(tidy(run), docs.schema)

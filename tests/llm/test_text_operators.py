@@ -60,40 +60,82 @@ def test_null_ids_and_repeated_rows(spark):
         assert got == sorted([(2, False), (5, True), (5, True), (9, False), (None, False)], key=str)
 
 
-@pytest.mark.parametrize("name", ["by_hash", "by_automaton"])
-def test_repeated_words(docs, rows, name):
+@pytest.mark.parametrize("chunk", [2000, 2])
+def test_repeated_words(docs, rows, chunk, monkeypatch):
+    """Also with indexes so small that names are refined."""
     from spindle.llm import repeats
 
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.dedup_words(docs, index=getattr(repeats, name)).collect()}
+    monkeypatch.setitem(repeats.CHUNK, False, chunk)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.dedup_words(docs).collect()}
     assert got == brute.repeats(rows, 20, True)
 
 
-@pytest.mark.parametrize("name", ["by_hash", "by_automaton"])
-def test_repeated_bytes(docs, rows, name):
+@pytest.mark.parametrize(("name", "chunk"), [("by_run_length", 8000), ("by_run_length", 2), ("by_automaton", 100)])
+def test_repeated_bytes(docs, rows, name, chunk, monkeypatch):
     from spindle.llm import repeats
 
+    monkeypatch.setitem(repeats.CHUNK, True, chunk)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in repeats.dedup_bytes(docs, index=getattr(repeats, name)).collect()}
     assert got == brute.repeats(rows, 50, False)
 
 
-def test_small_chunks_and_segments(spark, rows, monkeypatch):
-    """Names and texts that don't fit a chunk or a segment are handled piecewise, with the same result."""
-    import numpy as np
-
+def test_segments(rows, monkeypatch):
+    """A text that doesn't fit a segment is cut into runs that hold each window once, whatever the names."""
     from spindle.llm import repeats
 
     monkeypatch.setattr(repeats, "SEGMENT", 64)
     parts = [r for r in rows if r[1]]
-    x = [b for b in repeats.run_maker(repeats.BYTES)(iter([repeats.pa.record_batch([[r[0] for r in parts], [r[1] for r in parts]], names=["id", "text"])]))]
-    covered = {}
-    for b in x:
-        for i, v in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            covered.setdefault(i, []).extend(range(v >> repeats.SHIFT, (v >> repeats.SHIFT) + (v & ((1 << repeats.SHIFT) - 1))))
-    for i, t in parts:
-        n = len(t.encode()) - 50 + 1
-        assert sorted(covered.get(i, [])) == list(range(max(0, n)))
-    regions, ids = [b"x" * 60, b"x" * 55 + b"y" * 10, b"z" * 70], np.array([1, 2, 3])
-    assert [h.tolist() for h in repeats.by_hash(regions, ids, repeats.BYTES)] == [h.tolist() for h in repeats.by_automaton(regions, ids, repeats.BYTES)]
+    for names in (repeats.PIECES, repeats.OTHER, repeats.WHOLE):
+        made = repeats.run_maker(repeats.BYTES, names)(iter([repeats.pa.record_batch([[r[0] for r in parts], [0] * len(parts), [r[1] for r in parts]], names=["id", "h", "text"])]))
+        covered = {}
+        for b in made:
+            for i, v in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
+                covered.setdefault(i, []).extend(range(v >> repeats.SHIFT, (v >> repeats.SHIFT) + (v & repeats.WINDOWS)))
+        for i, t in parts:
+            assert sorted(covered.get(i, [])) == list(range(max(0, len(t.encode()) - 49)))
+
+
+def test_indexes_against_a_plain_search():
+    """Regions of few letters, of several documents and versions: both indexes give what a search of all windows gives."""
+    import numpy as np
+
+    from spindle.llm import repeats
+
+    rng = random.Random(12)
+    for seed in range(12):
+        kind = repeats.Kind(6, 3, True)
+        n = rng.randint(2, 40)
+        base = "".join(rng.choice("abc"[: 1 + seed % 3]) for _ in range(60))
+        regions = []
+        for _ in range(n):
+            at = rng.randrange(50)
+            x = base[at : at + rng.randint(6, 30)].ljust(6, "z")
+            regions.append((x if rng.random() < 0.6 else x + "".join(rng.choice("abcd") for _ in range(9))).encode())
+        ids = np.array(sorted(rng.randrange(8) for _ in range(n)), np.int64)
+        names, hs = np.zeros(n, np.int64), np.array([rng.randrange(2) for _ in range(n)], np.int64)
+        want = [[any(ids[j] < ids[k] and x[s : s + 6] in regions[j] for j in range(n)) for s in range(len(x) - 5)] for k, x in enumerate(regions)]
+        for index in (repeats.by_run_length, repeats.by_automaton):
+            assert [h.tolist() for h in index(names, regions, ids, hs, kind)] == want
+        kind = repeats.Kind(3, 2, False)
+        words = [b" ".join(bytes([c]) for c in x) for x in regions]
+        order = sorted(range(n), key=lambda k: (ids[k], hs[k]))
+        words, ids, hs = [words[k] for k in order], ids[order], hs[order]
+        grams = [[tuple(x.split()[s : s + 3]) for s in range(len(x.split()) - 2)] for x in words]
+        want = [[any(g in grams[j] and (ids[j] < ids[k] or (ids[j] == ids[k] and hs[j] == hs[k] and j < k)) for j in range(n)) or g in grams[k][:s] for s, g in enumerate(grams[k])] for k in range(n)]
+        assert [h.tolist() for h in repeats.by_automaton(names, words, ids, hs, kind)] == want
+
+
+def test_texts_that_share_an_id(spark):
+    """They are documents of their own: neither loses what only the other has, nor counts as earlier."""
+    from spindle.llm import repeats
+
+    rng = random.Random(13)
+    t, u = brute.sentence(rng, 60), brute.sentence(rng, 60)
+    df = spark.createDataFrame([(1, t), (5, t + " and some more"), (5, u), (5, u + " end"), (7, u)], DOCS)
+    for f, n in ((repeats.dedup_bytes, len(t.encode())), (repeats.dedup_words, 60)):
+        got = sorted((r["doc_id"], r["n_removed"]) for r in f(df).collect())
+        assert got == [(1, 0), (5, 0), (5, 0), (5, n), (7, n if f is repeats.dedup_words else len(u.encode()))]
+    assert sorted(r["text"] for r in repeats.strip_bytes(df).collect()) == sorted([t, " and some more", u, u + " end", ""])
 
 
 def test_token_counts(docs, rows):
