@@ -129,6 +129,7 @@ def runs(data: np.ndarray, offs: np.ndarray, kind: Kind, names: int = PIECES) ->
 
 RUN = pa.schema([("m", pa.int64()), ("c", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("v", pa.int64())])
 RUN_SQL = "m long, c long, id long, h long, v long"
+RUN_X, RUN_X_SQL = pa.schema([*RUN, ("x", pa.binary())]), RUN_SQL + ", x binary"
 #: A run's start and windows in one number, and whether its windows may repeat each other.
 SHIFT = 24
 WINDOWS, ITSELF = (1 << SHIFT - 1) - 1, 1 << SHIFT - 1
@@ -144,10 +145,10 @@ def repeats_of(first: np.ndarray, cols: tuple[np.ndarray, ...], kind: Kind) -> n
 
 
 def run_maker(kind: Kind, names: int = PIECES):
-    """(id, h, text, spans) -> the runs of all texts, v = start << SHIFT | windows. Long texts go in overlapping segments.
+    """(id, h, text, start) -> the runs of all texts, v = start << SHIFT | windows. Long texts go in overlapping segments.
 
-    spans: runs whose windows are to be named anew; None for whole texts. Runs that repeat others of the same batch have
-    no name any more: they are settled.
+    start: where the text stands in its document, if it is a region whose windows are to be named anew; such runs carry
+    their symbols, x. Runs that repeat others of the same batch have no name any more: they are settled.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,22 +166,33 @@ def run_maker(kind: Kind, names: int = PIECES):
             new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
             first = cols[2][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
             again = repeats_of(first, cols, kind)
-            return batch(RUN, [pa.array(cols[0], mask=again), *cols[1:]])
+            made = [pa.array(cols[0], mask=again), *cols[1:]]
+            if names == PIECES:
+                return batch(RUN, made)
+            regions = [None] * len(order)
+            if names != WHOLE:
+                for k in np.flatnonzero(~again).tolist():
+                    r = order[k]
+                    a, e = st[r] - offs[t[r]], st[r] - offs[t[r]] + (int(n[r]) & WINDOWS) + kind.width - 1
+                    w = parts[t[r]][4]
+                    regions[k] = w[a:e] if kind.byte else b" ".join(w[a:e])
+            return batch(RUN_X, [*made, regions])
 
         for b in batches:
             parts, held = [], 0
-            spans = b.column(3).to_pylist() if b.num_columns > 3 else [None] * b.num_rows
-            for i, hash_, t, vs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), spans, strict=True):
+            starts = b.column(3).to_pylist() if names != PIECES else [0] * b.num_rows
+            for i, hash_, t, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), starts, strict=True):
                 s = symbols(t or b"", kind, seen)
                 if i is None or len(s) < kind.width:
                     continue
-                for lo, n in [(0, len(s) - kind.width + 1)] if vs is None else [(v >> SHIFT, v & WINDOWS) for v in vs]:
-                    for at in range(lo, lo + n, SEGMENT):
-                        parts.append((i, hash_, at, s[at : min(at + SEGMENT, lo + n) + kind.width - 1]))
-                        held += len(parts[-1][3])
-                        if held >= SEGMENT:
-                            yield out(parts)
-                            parts, held = [], 0
+                w = None if names == PIECES else t if kind.byte else t.split()
+                for at in range(0, len(s) - kind.width + 1, SEGMENT):
+                    e = at + SEGMENT + kind.width - 1
+                    parts.append((i, hash_, base + at, s[at:e], w and w[at:e]))
+                    held += len(parts[-1][3])
+                    if held >= SEGMENT:
+                        yield out(parts)
+                        parts, held = [], 0
             if parts:
                 yield out(parts)
 
@@ -189,9 +201,10 @@ def run_maker(kind: Kind, names: int = PIECES):
 
 OPEN = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("v", pa.int64()), ("m", pa.int64())])
 OPEN_SQL = "id long, h long, v long, m long"
+OPEN_X, OPEN_X_SQL = pa.schema([*OPEN, ("x", pa.binary())]), OPEN_SQL + ", x binary"
 
 
-def settle(kind: Kind):
+def settle(kind: Kind, names: int = PIECES):
     """Runs sorted by (m, c, id, h, v) -> those that repeat whole (m null) and those still open.
 
     A run repeats whole if its region occurs earlier. A run is open if its name occurs with another region, for bytes in
@@ -227,17 +240,18 @@ def settle(kind: Kind):
             pick = again | left
             if not pick.any():
                 return None
-            return batch(OPEN, [*(x[pick] for x in cols[2:]), pa.array(m[pick], mask=again[pick])])
+            made = [*(x[pick] for x in cols[2:5]), pa.array(m[pick], mask=again[pick])]
+            return batch(OPEN, made) if names == PIECES else batch(OPEN_X, [*made, cols[5][pick].tolist()])
 
         for b in batches:
             named = pc.is_valid(b.column(0))
             old = b.filter(pc.invert(named))
             if old.num_rows:
-                yield batch(OPEN, [*old.columns[2:], old.column(0)])
+                yield batch(OPEN if names == PIECES else OPEN_X, [*old.columns[2:5], old.column(0), *old.columns[5:]])
             b = b.filter(named)
             if not b.num_rows:
                 continue
-            cols = tuple(np.asarray(x) for x in b.columns)
+            cols = tuple(np.asarray(x) for x in b.columns[:5]) + tuple(np.array([*x.to_pylist(), None], object)[:-1] for x in b.columns[5:])
             if rest is not None:
                 cols = tuple(np.concatenate(x) for x in zip(rest, cols, strict=True))
             m = cols[0]
@@ -290,14 +304,30 @@ def region_maker(kind: Kind):
 
 #: Symbols of a pack, and bits of a symbol: a byte or the end of a region.
 PACK, BITS = 7, 9
+#: The least difference of two packs whose k-th symbol from the end differs.
+FROM = 1 << np.arange(0, PACK * BITS, BITS)
+
+
+class Marks:
+    """A bit for each row, with the number of bits set before each word: rank(row) counts those up to a row."""
+
+    def __init__(self, bits: np.ndarray):
+        self.words = np.packbits(np.append(bits, np.zeros(-len(bits) % 64, bool)), bitorder="little").view("<u8")
+        counts = np.bitwise_count(self.words).astype(np.int64)
+        self.before = np.cumsum(counts) - counts
+
+    def rank(self, row: np.ndarray) -> np.ndarray:
+        word = row >> 6
+        up_to = self.words[word] << (63 - (row & 63)).astype(np.uint64)
+        return self.before[word] + np.bitwise_count(up_to)
 
 
 class RunLengthIndex:
     """Burrows-Wheeler transform of several byte strings, kept as runs, with the places in the text that its run ends
     stand for. The ends of strings are in the order of the strings, so that no match crosses them.
 
-    place(row) walks with a match: a row stands for a suffix that begins with what is matched. The rows that share their
-    first `width` symbols are a block, of which the smallest owner is kept.
+    A match walks over rows: a row stands for a suffix that begins with what is matched. The rows that share their first
+    `width` symbols are a block, of which the smallest owner is kept.
     """
 
     def __init__(self, strings: list[bytes], owners: np.ndarray, width: int):
@@ -319,13 +349,14 @@ class RunLengthIndex:
         before = text[rows - 1]
         before[rows == 0] = 0
         # the runs: first row, symbol, rows of that symbol before, place of the first and the last row
-        starts = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
-        self.starts, self.heads = starts, before[starts]
+        new = np.append(True, before[1:] != before[:-1])
+        starts = np.flatnonzero(new)
+        self.runs, self.starts, self.heads = Marks(new), starts, before[starts]
         lengths = np.diff(np.append(starts, n))
         order = np.lexsort((starts, self.heads))
         ahead = np.cumsum(lengths[order]) - lengths[order]
-        self.map = np.empty(len(starts), np.int64)
-        self.map[order] = ahead  # symbols before it in the order of symbols: where its first row's predecessor stands
+        self.shift = np.empty(len(starts), np.int64)
+        self.shift[order] = ahead - starts[order]  # from a row of the run to the row of the suffix one symbol longer
         self.first, self.last = rows[starts], rows[starts + lengths - 1]
         self.ends = starts + lengths - 1
         self.by_head = self.heads[order] * (len(starts) + 1) + order
@@ -334,8 +365,8 @@ class RunLengthIndex:
         same = np.zeros(n, bool)
         full = np.flatnonzero((left[rows[1:]] >= width) & (left[rows[:-1]] >= width))
         same[full + 1] = self.shared(rows[full], rows[full + 1], np.full(len(full), width)) >= width
-        self.blocks = np.flatnonzero(~same)
-        self.least = np.minimum.reduceat(np.repeat(owners, sizes)[rows], self.blocks)
+        self.blocks = Marks(~same)
+        self.least = np.minimum.reduceat(np.repeat(owners, sizes)[rows], np.flatnonzero(~same))
 
     @staticmethod
     def sort(pack: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -369,56 +400,64 @@ class RunLengthIndex:
         out, on = np.zeros(len(a), np.int64), np.arange(len(a))
         while len(on):
             differ = self.pack[a[on] + out[on]] ^ self.pack[b[on] + out[on]]
-            equal = np.full(len(on), PACK)
-            odd = np.flatnonzero(differ)
-            equal[odd] = np.sum([differ[odd] < 1 << BITS * (PACK - k) for k in range(1, PACK)], axis=0)
-            out[on] += equal
+            out[on] += PACK - np.searchsorted(FROM, differ, "right")
             on = on[(differ == 0) & (out[on] < most[on])]
         return np.minimum(out, most)
 
-    def stream(self, strings: list[bytes], owners: np.ndarray, width: int) -> list[np.ndarray]:
-        """Matching statistics of strings, all at once from their ends: which of their windows a smaller owner has."""
+    def stream(self, strings: list[bytes], owners: np.ndarray, width: int) -> np.ndarray:
+        """Matching statistics of strings, all at once from their ends: which of their windows, one string's after the
+        other's, a smaller owner has. A string is left when its rest is too short for another window."""
         sizes = np.array([len(x) for x in strings])
-        by = np.argsort(-sizes, kind="stable")
-        data, ends = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1, np.cumsum(sizes)[by]
-        hit, start = np.zeros(len(data), bool), ends - sizes[by]
-        row, place, have = np.zeros(len(by), np.int64), np.full(len(by), self.first[0]), np.zeros(len(by), np.int64)
-        mine, falling = owners[by], -sizes[by]
-        for step in range(int(sizes.max(initial=0))):
-            live = int(np.searchsorted(falling, -step, "left"))  # strings longer than this step
-            r, p, l, c = row[:live], place[:live], have[:live], data[ends[:live] - 1 - step]
-            at = np.searchsorted(self.starts, r, "right") - 1
-            off = np.flatnonzero(self.heads[at] != c)
+        data, ends = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1, np.cumsum(sizes)
+        hit = np.zeros(len(data), bool)
+        at, begin, mine = ends - 1, ends - sizes, owners  # the next symbol and the first one of each string
+        row, place, have = np.zeros(len(at), np.int64), np.full(len(at), self.first[0]), np.zeros(len(at), np.int64)
+        step = 0
+        while len(at):
+            c, run = data[at], self.runs.rank(row) - 1
+            off = np.flatnonzero(self.heads[run] != c)
             if len(off):
-                want = c[off] * (len(self.starts) + 1) + at[off]
+                want = c[off] * (len(self.starts) + 1) + run[off]
                 k = np.searchsorted(self.by_head, want)
-                up, down = np.minimum(k, len(self.order) - 1), np.maximum(k - 1, 0)
-                after, ahead = self.order[up], self.order[down]
+                after, ahead = self.order[np.minimum(k, len(self.order) - 1)], self.order[np.maximum(k - 1, 0)]
                 good_up, good_down = (k < len(self.order)) & (self.heads[after] == c[off]), (k > 0) & (self.heads[ahead] == c[off])
-                most = l[off]
-                share_up = np.where(good_up, self.shared(p[off], self.first[after], np.where(good_up, most, 0)), -1)
-                share_down = np.where(good_down, self.shared(p[off], self.last[ahead], np.where(good_down, most, 0)), -1)
+                spot, most = place[off], have[off]
+                share_up = np.where(good_up, self.shared(spot, self.first[after], np.where(good_up, most, 0)), -1)
+                share_down = np.where(good_down, self.shared(spot, self.last[ahead], np.where(good_down, most, 0)), -1)
                 lower = share_down > share_up
-                at[off] = np.where(lower, ahead, after)
-                r[off] = np.where(lower, self.ends[ahead], self.starts[after])
-                p[off] = np.where(lower, self.last[ahead], self.first[after])
-                l[off] = np.maximum(share_up, share_down)
-            none = l < 0
-            r[:] = np.where(none, 0, self.map[at] + r - self.starts[at])
-            p[:] = np.where(none, self.first[0], p - 1)
-            l[:] = np.where(none, 0, np.minimum(l, width - 1) + 1)
-            full = np.flatnonzero(l >= width)
+                run[off] = np.where(lower, ahead, after)
+                row[off] = np.where(lower, self.ends[ahead], self.starts[after])
+                place[off] = np.where(lower, self.last[ahead], self.first[after])
+                have[off] = np.maximum(share_up, share_down)
+                none = off[have[off] < 0]  # a symbol that the index doesn't hold
+                row += self.shift[run]
+                place -= 1
+                have = np.minimum(have, width - 1) + 1
+                row[none], place[none], have[none] = 0, self.first[0], 0
+            else:
+                row += self.shift[run]
+                place -= 1
+                have = np.minimum(have, width - 1) + 1
+            full = np.flatnonzero(have >= width)
             if len(full):
-                block = np.searchsorted(self.blocks, r[full], "right") - 1
-                hit[ends[full] - 1 - step] = self.least[block] < mine[full]
-        found = [np.zeros(0, bool)] * len(strings)
-        for k, a, n in zip(by.tolist(), start.tolist(), sizes[by].tolist(), strict=True):
-            found[k] = hit[a : a + n - width + 1]
-        return found
-
-
-def by_run_length(names: np.ndarray, regions: list[bytes], ids: np.ndarray, hs: np.ndarray, kind: Kind) -> list[np.ndarray]:
-    """For each region, which of its windows a region of a smaller document has as well; sorted by (name, id).
+                hit[at[full]] = self.least[self.blocks.rank(row[full]) - 1] < mine[full]
+            at = at - 1
+            step += 1
+            if step % 8 == 0 or step > 100:
+                live = (at >= begin) & (have + at - begin + 1 >= width)
+                if not live.all():
+                    at, begin, mine, row, place, have = (x[live] for x in (at, begin, mine, row, place, have))
+            else:
+                done = at < begin
+                if done.any():
+                    live = ~done
+                    at, begin, mine, row, place, have = (x[live] for x in (at, begin, mine, row, place, have))
+        left = np.repeat(ends, sizes) - np.arange(len(data))
+        return hit[left >= width]
+
+
+def by_run_length(names: np.ndarray, regions: list[bytes], ids: np.ndarray, hs: np.ndarray, kind: Kind) -> np.ndarray:
+    """Which windows of all regions, sorted by (name, id), a region of a smaller document has as well.
 
     The index holds the regions that a later document may match, and those that an earlier one may have matched stream
     past it.
@@ -428,11 +467,11 @@ def by_run_length(names: np.ndarray, regions: list[bytes], ids: np.ndarray, hs:
     group = np.cumsum(new) - 1
     lo, hi = np.minimum.reduceat(ids, starts)[group], np.maximum.reduceat(ids, starts)[group]
     held, asked = np.flatnonzero(ids < hi), np.flatnonzero(ids > lo)
-    hits = [np.zeros(len(x) - kind.width + 1, bool) for x in regions]
+    windows = np.array([len(x) for x in regions]) - kind.width + 1
+    hits = np.zeros(windows.sum(), bool)
     if len(asked):
         index = RunLengthIndex([regions[k] for k in held], ids[held], kind.width)
-        for k, found in zip(asked.tolist(), index.stream([regions[k] for k in asked], ids[asked], kind.width), strict=True):
-            hits[k] = found
+        hits[np.repeat(ids > lo, windows)] = index.stream([regions[k] for k in asked], ids[asked], kind.width)
     return hits
 
 
@@ -503,7 +542,7 @@ class Automaton:
         return hit
 
 
-def by_automaton(names: np.ndarray, regions: list[bytes], ids: np.ndarray, hs: np.ndarray, kind: Kind) -> list[np.ndarray]:
+def by_automaton(names: np.ndarray, regions: list[bytes], ids: np.ndarray, hs: np.ndarray, kind: Kind) -> np.ndarray:
     """As by_run_length; of words, windows of the same document that start earlier count as well. Documents, smallest id
     first, stream past the automaton of those before them, then join it."""
     hits = [np.zeros(0, bool)] * len(regions)
@@ -531,44 +570,75 @@ def by_automaton(names: np.ndarray, regions: list[bytes], ids: np.ndarray, hs: n
             for mine in versions[:-1]:
                 grow(index, mine)
         done += rows
-    return hits
+    return np.concatenate(hits)
 
 
-SPAN = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("v", pa.int64())])
+SPAN = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("v", pa.int64()), ("m", pa.int64()), ("x", pa.binary())])
+SPAN_SQL = "id long, h long, v long, m long, x binary"
 
 
 def resolver(kind: Kind, index: Callable):
-    """Regions sorted by (m, id, h, s) -> runs of windows that occur earlier, v as in runs."""
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch | None:
-        m, ids, hs, starts = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-        out: list[tuple] = []
-        for i, h, s, hit in zip(ids.tolist(), hs.tolist(), starts.tolist(), index(m, [r[4] for r in rows], ids, hs, kind), strict=True):
-            if hit.any():
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-                out += [(i, h, (s + a) << SHIFT | (e - a)) for a, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-        return batch(SPAN, list(zip(*out, strict=True))) if out else None
+    """Regions sorted by (m, id, h, s) -> runs of windows that occur earlier, v as in runs, m and x null. The regions of
+    a name with more of them than an index holds come out as they are, with m and x."""
+
+    def solve(m: np.ndarray, ids: np.ndarray, hs: np.ndarray, starts: np.ndarray, regions: list[bytes]) -> pa.RecordBatch | None:
+        hit = index(m, regions, ids, hs, kind)
+        if not hit.any():
+            return None
+        sizes = np.array([len(x) if kind.byte else x.count(b" ") + 1 for x in regions]) - kind.width + 1
+        ends = np.cumsum(sizes)
+        edge = np.zeros(len(hit), bool)
+        edge[(ends - sizes)] = True
+        first = np.flatnonzero(hit & (np.append(True, ~hit[:-1]) | edge))
+        last = np.flatnonzero(hit & np.append(~hit[1:] | edge[1:], True))
+        of = np.searchsorted(ends, first, "right")
+        v = (starts[of] + first - (ends - sizes)[of]) << SHIFT | (last - first + 1)
+        return batch(SPAN, [ids[of], hs[of], v, pa.nulls(len(of), pa.int64()), pa.nulls(len(of), pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        name: list[tuple] = []  # rows of the name that goes on
+        most, held, passing = CHUNK[kind.byte], None, None  # passing: the crowded name that goes on
+
+        def flush(cols: list, last: bool) -> Iterator[pa.RecordBatch]:
+            """What is whole of cols; the rest is held."""
+            nonlocal held, passing
+            m, ids, hs, starts, x = cols
+            if passing is not None:
+                n = int(np.searchsorted(m, passing, "right"))
+                if n:
+                    yield batch(SPAN, [ids[:n], hs[:n], starts[:n] << SHIFT, m[:n], x[:n]])
+                    cols = m, ids, hs, starts, x = [c[n:] for c in (m, ids, hs, starts, x)]
+            cuts = [0, *(np.flatnonzero(m[1:] != m[:-1]) + 1).tolist(), *([len(m)] if last and len(m) else [])]
+            at = 0  # the first row that is not yet done
+            for a, e in zip(cuts, cuts[1:]):
+                crowded = e - a > most
+                if crowded or e - at > most:
+                    if a > at:
+                        yield solve(*(c[at:a] for c in cols))
+                    at = a
+                if crowded:
+                    yield batch(SPAN, [ids[a:e], hs[a:e], starts[a:e] << SHIFT, m[a:e], x[a:e]])
+                    at = e
+            if last:
+                if len(m) > at:
+                    yield solve(*(c[at:] for c in cols))
+                return
+            if len(m) and len(m) - cuts[-1] > most:
+                if cuts[-1] > at:
+                    yield solve(*(c[at : cuts[-1]] for c in cols))
+                at, passing = len(m), m[-1]
+                k = cuts[-1]
+                yield batch(SPAN, [ids[k:], hs[k:], starts[k:] << SHIFT, m[k:], x[k:]])
+            held = [c[at:] for c in cols]
+
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                for r in zip(*(c.to_pylist() for c in b.slice(at, 2000).columns), strict=True):
-                    if name and name[0][0] != r[0]:
-                        if rows and len(rows) + len(name) > CHUNK[kind.byte]:
-                            out = solve(rows)
-                            if out is not None:
-                                yield out
-                            rows = []
-                        rows += name
-                        name = []
-                    name.append(r)
-        rows += name
-        if rows:
-            out = solve(rows)
-            if out is not None:
-                yield out
+            for at in range(0, b.num_rows, 4 * most):
+                part = b.slice(at, 4 * most)
+                cols = [*(np.asarray(c) for c in part.columns[:4]), part.column(4).to_pylist()]
+                if held is not None:
+                    cols = [*(np.concatenate(c) for c in zip(held[:4], cols[:4], strict=True)), held[4] + cols[4]]
+                yield from filter(None, flush(cols, False))
+        if held is not None and len(held[0]):
+            yield from filter(None, flush(held, True))
 
     return run
 
@@ -588,31 +658,33 @@ def merged(v: np.ndarray, width: int) -> np.ndarray:
 def repeated_runs(docs: DataFrame, kind: Kind, index: Callable) -> DataFrame:
     """docs(id, h, text) -> (id, h, vs): for each document with any, the runs of windows that occur earlier."""
     scratch = Scratch(docs.sparkSession)
-    settled, found, src = [], [], docs
+    done, src = [], docs
     for names in (PIECES, OTHER, WHOLE):
-        made = src.mapInArrow(tidy(run_maker(kind, names)), RUN_SQL)
+        made = src.mapInArrow(tidy(run_maker(kind, names)), RUN_SQL if names == PIECES else RUN_X_SQL)
         # a settled run has no name and may go anywhere
         dealt = made.repartition(F.coalesce("m", F.xxhash64("id", "v"))).sortWithinPartitions("m", "c", "id", "h", "v")
-        now = scratch.keep(dealt.mapInArrow(tidy(settle(kind)), OPEN_SQL))
+        settled = scratch.keep(dealt.mapInArrow(tidy(settle(kind, names)), OPEN_SQL if names == PIECES else OPEN_X_SQL))
         del made, dealt
         scratch.sweep()
-        settled.append(now.where("m is null").select("id", "h", "v"))
-        left = now.where("m is not null")
+        done.append(settled.where("m is null").select("id", "h", "v"))
         if names == WHOLE:
             break
-        crowded = scratch.keep(left.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK[kind.byte]).select("m"))
-        again = bool(crowded.limit(1).count())
-        mine = left.join(crowded, "m", "left_anti") if again else left
-        mine = mine.groupBy("id", "h").agg(F.collect_list(F.struct("v", "m")).alias("r")).select("id", "h", F.col("r.v").alias("v"), F.col("r.m").alias("m"))
-        region = docs.join(mine, ["id", "h"]).select("id", "h", "text", "v", "m").mapInArrow(tidy(region_maker(kind)), REGION_SQL)
-        found.append(scratch.keep(region.repartition("m").sortWithinPartitions("m", "id", "h", "s").mapInArrow(tidy(resolver(kind, index)), "id long, h long, v long")))
-        del mine, region
+        region = settled.where("m is not null")
+        if names == PIECES:
+            mine = region.groupBy("id", "h").agg(F.collect_list(F.struct("v", "m")).alias("r")).select("id", "h", F.col("r.v").alias("v"), F.col("r.m").alias("m"))
+            region = docs.join(mine, ["id", "h"]).select("id", "h", "text", "v", "m").mapInArrow(tidy(region_maker(kind)), REGION_SQL)
+            del mine
+        else:
+            region = region.select("m", "id", "h", F.shiftright("v", SHIFT).alias("s"), "x")
+        found = scratch.keep(region.repartition("m").sortWithinPartitions("m", "id", "h", "s").mapInArrow(tidy(resolver(kind, index)), SPAN_SQL))
+        del region
         scratch.sweep()
-        if not again:
+        done.append(found.where("m is null").select("id", "h", "v"))
+        crowded = found.where("m is not null")
+        if not crowded.limit(1).count():
             break
-        rest = left.join(crowded, "m", "left_semi").groupBy("id", "h").agg(F.collect_list("v").alias("vs"))
-        src = docs.join(rest, ["id", "h"]).select("id", "h", "text", "vs")
-    return union([*settled, *found]).groupBy("id", "h").agg(F.collect_list("v").alias("vs"))
+        src = crowded.select("id", "h", F.col("x").alias("text"), F.shiftright("v", SHIFT).alias("s"))
+    return union(done).groupBy("id", "h").agg(F.collect_list("v").alias("vs"))
 
 
 def versioned(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
