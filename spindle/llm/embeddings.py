@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import EDGE, Scratch, batch, components, tidy
 
 #: Vectors that a filter should hold, filters of a code that a pair at the least cosine should share, vectors of a piece.
-HELD, SHARED, PIECE = 50, 9, 1024
+HELD, SHARED, PIECE = 50, 6, 1024
 #: Codes with rotations of their own: a pair whose difference lies badly for one seldom does for the other.
 CODES = 2
 #: A cosine this much below the limit is computed again, vector by vector.
@@ -92,6 +92,15 @@ def vector(x: bytes) -> np.ndarray:
     return np.frombuffer(x[1:], np.float64) if len(x) % 4 else np.frombuffer(x, np.float32).astype(np.float64)
 
 
+def units(xs: list[bytes]) -> np.ndarray:
+    """unit() of vectors that are packed alike."""
+    if len(xs[0]) % 4:
+        return np.array([unit(vector(x)) for x in xs])
+    v = np.frombuffer(b"".join(xs), np.float32).reshape(len(xs), -1).astype(np.float64)
+    v /= np.abs(v).max(1, keepdims=True)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     v = v / np.abs(v).max()  # so that squares neither overflow nor vanish
     return v / math.sqrt(float(v @ v))
@@ -101,6 +110,11 @@ FILTERED = pa.schema([("f", pa.int64()), ("id", pa.int64()), ("n", pa.int64()),
 FILTERED_SQL = "f long, id long, n long, x binary, fs binary"
 
 
+def numbers(fs: bytes) -> np.ndarray:
+    """A vector's filters, sorted, as packed by filterer(): four bytes each where that is enough."""
+    return np.frombuffer(fs[1:], np.uint32 if fs[:1] == b"4" else np.int64).astype(np.int64)
+
+
 def filterer(count: int, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,8 +125,9 @@ def filterer(count: int, cosine: float):
                 for which in range(CODES):
                     rotation, words, least = code(len(v), count, cosine, which)
                     each.append(decode(rotation @ v, words, least) * CODES + which)
-                found = np.concatenate(each) * 4096 + len(v) % 4096  # vectors of other lengths don't meet
-                fs = found.tobytes()
+                found = np.sort(np.concatenate(each))
+                fs = b"4" + found.astype(np.uint32).tobytes() if found.max(initial=0) < 1 << 32 else b"8" + found.tobytes()
+                found = found * 4096 + len(v) % 4096  # vectors of other lengths don't meet
                 for col, y in zip(cols, (found.tolist(), [i] * len(found), [n] * len(found), [x] * len(found), [fs] * len(found)), strict=True):
                     col += y
                 if len(cols[0]) > 20_000:
@@ -149,34 +164,42 @@ def compare(f: int, lo: int, hi: int, rows: list[tuple], cosine: float) -> Itera
     b = a if lo == hi else [r for r in rows if r[3] == hi]
     if not a or not b:
         return
-    va, vb = [vector(r[2]) for r in a], [vector(r[2]) for r in b]
-    d = len(va[0])
-    if any(len(v) != d for v in va + vb):  # lengths 4096 apart: compare each on its own
-        for size in {len(v) for v in va + vb}:
-            yield from compare(f, lo, hi, [r for r in rows if len(vector(r[2])) == size], cosine)
-        return
-    xa, xb = np.array([unit(v) for v in va]), np.array([unit(v) for v in vb])
+    if len({len(r[2]) for r in rows}) > 1:  # lengths 4096 apart, or doubles among floats
+        va, vb = ([vector(r[2]) for r in x] for x in (a, b))
+        lengths = {len(v) for v in va + vb}
+        if len(lengths) > 1:  # compare each on its own
+            for size in lengths:
+                yield from compare(f, lo, hi, [r for r in rows if len(vector(r[2])) == size], cosine)
+            return
+        xa, xb = np.array([unit(v) for v in va]), np.array([unit(v) for v in vb])
+    else:
+        xa = units([r[2] for r in a])
+        xb = xa if a is b else units([r[2] for r in b])
     near = xa @ xb.T
     mask = near >= cosine
     for i, j in np.argwhere(np.abs(near - cosine) < SLACK):
-        mask[i, j] = float(va[i] @ vb[j]) / (math.sqrt(float(va[i] @ va[i])) * math.sqrt(float(vb[j] @ vb[j]))) >= cosine
+        v, w = vector(a[i][2]), vector(b[j][2])
+        mask[i, j] = float(v @ w) / (math.sqrt(float(v @ v)) * math.sqrt(float(w @ w))) >= cosine
     if a is b:
         np.fill_diagonal(mask, False)
     if not mask.any():
         return
-    new = mask & ~earlier([np.frombuffer(r[4], np.int64) for r in a], [np.frombuffer(r[4], np.int64) for r in b], f)
+    one = a is b
+    ka, kb = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+    a, b, mask = [a[k] for k in ka], [b[k] for k in kb], mask[np.ix_(ka, kb)]
+    f //= 4096
+    new = mask & ~earlier([numbers(r[4]) for r in a], [numbers(r[4]) for r in b], f)
     na, nb = np.array([r[1] for r in a]), np.array([r[1] for r in b])
-    links = [new @ nb] if a is b else [new @ nb, new.T @ na]
-    ids = np.array([r[0] for r in a] + ([] if a is b else [r[0] for r in b]))
-    big = np.iinfo(np.int64).max
-    la, lb = ids[: len(a)].copy(), ids[-len(b) :].copy()
+    links = [new @ nb] if one else [new @ nb, new.T @ na]
+    la, lb = np.array([r[0] for r in a]), np.array([r[0] for r in b])
+    ids, big = la if one else np.concatenate([la, lb]), np.iinfo(np.int64).max
     while True:
         ma = np.minimum(la, np.where(mask, lb[None, :], big).min(1))
-        mb = ma if a is b else np.minimum(lb, np.where(mask, ma[:, None], big).min(0))
+        mb = ma if one else np.minimum(lb, np.where(mask, ma[:, None], big).min(0))
         if (ma == la).all() and (mb == lb).all():
             break
         la, lb = ma, mb
-    roots = la if a is b else np.concatenate([la, lb])
+    roots = la if one else np.concatenate([la, lb])
     yield from zip(ids.tolist(), np.concatenate(links).tolist(), roots.tolist(), strict=True)
 
 
@@ -207,7 +230,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     """(id, n_links, component_id, kept) for each row: vectors with at least this cosine are linked.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do vectors of
-    different lengths. Each other row that is linked directly counts, so rows that repeat a vector count each other. A
+    different lengths. Each other row that is linked directly counts, so rows that repeat a vector count each other. An
+    id that repeats with other vectors is one node: its rows share a component and the sum of their links. A
     null id has a null component and is kept. Empty tables give an empty result. Which links are found is a matter of
     chance with a chance of missing of about exp(-CODES * SHARED) at the least cosine; none below it is found.
     """

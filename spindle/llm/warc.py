@@ -22,6 +22,8 @@ from .common import batch, tidy
 from .extraction import lines
 
 CRLF = b"\r\n"
+#: Bytes that are unpacked at once.
+STEP = 1 << 16
 
 
 def digest(data: bytes) -> str:
@@ -51,16 +53,18 @@ def get(headers: list[tuple[str, str]], name: str) -> str | None:
 
 
 def read(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """(headers, block) of each record of a file, gzip members or plain; stops where the file is cut or broken."""
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
+    """(headers, block) of each record of a file, gzip members or plain; stops where the file is cut or broken. Members
+    are unpacked one at a time."""
+    at = 0
+    while data[at : at + 2] == b"\x1f\x8b":
+        member, plain = zlib.decompressobj(31), []
         try:
-            plain = member.decompress(data)
+            while at < len(data) and not member.eof:
+                plain.append(member.decompress(data[at : at + STEP]))
+                at += min(STEP, len(data) - at) - len(member.unused_data)
         except zlib.error:
             return
-        yield from read(plain)
-        data = member.unused_data
-    at = 0
+        yield from read(b"".join(plain))
     while True:
         while data[at : at + 2] == CRLF:
             at += 2
@@ -168,20 +172,23 @@ def deriver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def derivatives(records: DataFrame, key_col: str = "key", record_col: str = "record") -> DataFrame:
     """The derivatives of all response records in a binary column, whose rows are one record or a whole file each.
 
-    key is that of the row. Nulls and broken data give nothing beyond their whole records; rows that repeat a record
-    repeat its derivatives, with the same ids. A response that isn't text has a metadata record only.
+    key is that of the row, null where it is null. Nulls and broken data give nothing beyond their whole records; rows
+    that repeat a record repeat its derivatives, with the same ids. A response that isn't text has a metadata record
+    only; very long ones are one record like others. Other columns are ignored. Empty tables give none.
     """
     src = records.select(F.col(key_col).cast("long").alias("key"), F.col(record_col).alias("record"))
     return src.mapInArrow(tidy(deriver), ", ".join(f"{k} {v}" for k, v in DERIVED))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """WARC files, gzip or plain, as rows (key, record) for derivatives()."""
+    """WARC files, gzip or plain, as rows (key, record) for derivatives(); a file of at most 2 GB a row. An empty folder
+    gives none."""
     return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("key"), F.col("content").alias("record"))
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(key, record): a page of each row as a response record, its id made from page id and url. Nulls are empty."""
+    """(key, record): a page of each row as a response record, its id made from page id and url. Nulls are empty; rows that
+    repeat a page repeat its record; other columns are ignored; empty tables give none."""
     schema = pa.schema([("key", pa.int64()), ("record", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,9 +51,9 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def near(rows):
+def near(rows, over=85):
     s = {i: shingles(t) for i, t in rows}
-    edges = [(a, b) for a, b in itertools.combinations(s, 2) if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b])]
+    edges = [(a, b) for a, b in itertools.combinations(s, 2) if s[a] and s[b] and 100 * len(s[a] & s[b]) >= over * len(s[a] | s[b])]
     r = roots(s, edges)
     return {i: (len(s[i]), r[i], r[i] == i) for i in s}
 

@@ -57,6 +57,22 @@ def test_links_in_a_crowd_of_unlinked_documents(spark):
     assert got == {i: want[i][1] for i in want}
 
 
+def test_one_dense_group_is_one_component(spark):
+    """Variants of one text, mean Jaccard about 0.82: few neighbours in the sorted orders are linked, but all hang together."""
+    from spindle.llm.minhash import near_duplicates
+
+    rng = random.Random(7)
+    base, rows = brute.sentence(rng, 400).split(), []
+    for i in range(700):
+        w = list(base)
+        for k in rng.sample(range(400), 8):
+            w[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    want = brute.near(rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: want[i][1] for i in want}
+
+
 def test_bounds_of_the_exact_pass(spark):
     """Sets of many sizes, blocks of a few rows: every pair that reaches the limit is among the candidates."""
     from pyspark.sql import functions as F

@@ -179,7 +179,7 @@ def test_pipeline_stages(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         got = {r["doc_id"]: r["text"] for r in docs.collect()}
         if name == "minhash_dedup":
-            want = brute.near(list(held.items()))
+            want = brute.near(list(held.items()), 80)
             assert set(got) == {i for i in held if want[i][2]}
         elif name == "suffix_dedup":
             want = brute.repeats(list(held.items()), 50, False)
