@@ -65,7 +65,7 @@ def test_one_dense_group_is_one_component(spark):
     base, rows = brute.sentence(rng, 400).split(), []
     for i in range(700):
         w = list(base)
-        for k in rng.sample(range(400), 8):
+        for k in rng.sample(range(400), 4):
             w[k] = f"own{i}x{k}"
         rows.append((i, " ".join(w)))
     want = brute.near(rows)
