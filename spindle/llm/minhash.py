@@ -137,12 +137,10 @@ def candidates(scratch: Scratch, rows: DataFrame, width: int, least: int) -> Dat
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "k", "id").sortWithinPartitions("k", "id")
     found = scratch.keep(ordered.mapInArrow(tidy(neighbours(width, least)), PAIR_SQL))
-    ends = found.where("edge >= 0").select("a", "k", "comp", F.shiftright("edge", 1).alias("part"), (F.col("edge") % 2).alias("last"))
-    left = ends.where("last = 1").select(F.col("a").alias("x"), F.col("k").alias("kx"), F.col("comp").alias("cx"), (F.col("part") + 1).alias("part"))
-    right = ends.where("last = 0").select(F.col("a").alias("y"), F.col("k").alias("ky"), F.col("comp").alias("cy"), "part")
-    p = 1 + 4 * least
-    across = left.join(right, "part").where((F.substring("kx", 1, p) == F.substring("ky", 1, p)) & (F.col("cx") != F.col("cy")))
-    pairs = found.where("edge < 0").select("a", "b").unionByName(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    # At most 2 * width rows of each partition, whatever the table: one task has all ends, so short partitions lose nothing.
+    ends = found.where("edge >= 0").select("k", F.col("a").alias("id"), "comp").distinct()
+    across = ends.repartition(1).sortWithinPartitions("k", "id").mapInArrow(tidy(neighbours(width, least)), PAIR_SQL)
+    pairs = found.where("edge < 0").select("a", "b").unionByName(across.where("edge < 0").select("a", "b"))
     return pairs.where("a <> b").distinct()
 
 
@@ -318,7 +316,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component_id, kept) for each row: documents with 100 * intersection >= over * union are linked.
 
     Nulls and texts without words have no shingles and are linked with nothing. A null id has a null component and is
-    kept. Rows that repeat an id with its text share a component. An empty table gives an empty result. Other columns
+    kept. Rows that repeat an id with its text share a component; an id that repeats with other texts is one node, whose
+    links are those of its smallest text. An empty table gives an empty result. Other columns
     are ignored. The links looked at are those of the module's docstring; each is confirmed on whole sets.
     """
     spark = docs.sparkSession
@@ -339,8 +338,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near_ids = crowded.select("id").distinct()
     gathered = scratch.keep(src.where("id is not null").join(near_ids.hint("merge"), "id", "left_semi"))
     scratch.sweep()
-    # A repeated id with several texts counts by the text whose class it stands for; one row of each is enough.
-    gathered = gathered.groupBy("id").agg(F.first("text").alias("text")) if repeated(signed) else gathered
+    # One row of each id is enough.
+    gathered = gathered.groupBy("id").agg(F.min("text").alias("text")) if repeated(signed) else gathered
 
     def confirm(pairs: DataFrame) -> DataFrame:
         x, y = gathered.select(F.col("id").alias("a"), F.col("text").alias("ta")), gathered.select(F.col("id").alias("b"), F.col("text").alias("tb"))
