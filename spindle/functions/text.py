@@ -126,3 +126,78 @@ def folio_key(c: Column) -> Column:
 def content_key(*columns: str) -> Column:
     """Twelve hex digits that depend on the content alone."""
     return F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256), 1, 12)
+
+
+FOLIO = r"^(\d+(?:bis|\([^)]*\))?|n\.n)([rv])?(?:[-–](\d+(?:bis|\([^)]*\))?)?([rv])?)?$"
+
+
+def db_folio(c: Column) -> Column:
+    """(start, end) of a folio as the archive's rows give it: notes in square brackets and what follows / or = are
+    dropped, 24rv is 24r to 24v, 118v-r ends on its own number; what is none of these stays as it is."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\[[^\]]*\]", ""), "[/=].*$", ""), r"\s+", "")
+    both = F.regexp_extract(bare, r"(?i)^(\d+(?:bis)?)(?:rv|vr)$", 1)
+    part = [F.regexp_extract(F.lower(bare), FOLIO, k) for k in (1, 2, 3, 4)]
+    start = F.concat(part[0], part[1])
+    other = F.concat(F.when(part[2] != "", part[2]).otherwise(part[0]), part[3])
+    end = F.when((part[2] != "") | (part[3] != ""), other).otherwise(start)
+    known = part[0] != ""
+    first = F.when(both != "", F.concat(both, F.lit("r"))).when(known, start).when(bare != "", bare)
+    return F.struct(first.alias("start"), F.when(both != "", F.concat(both, F.lit("v"))).when(known, end).otherwise(first).alias("end"))
+
+
+def folio_relation(start: Column, end: Column, other: Column, other_end: Column) -> Column:
+    """How two spans of folios stand to each other: missing, exact, within, overlap, off_by_one or different."""
+    a, b = folio_key(start), folio_key(F.coalesce(end, start))
+    c, d = folio_key(other), folio_key(F.coalesce(other_end, other))
+    lo, hi, low, high = F.least(a, b), F.greatest(a, b), F.least(c, d), F.greatest(c, d)
+    number = lambda k: F.element_at(F.array(k), 1)["col1"]
+    apart = F.greatest(number(low) - number(hi), number(lo) - number(high))
+    blank = (F.coalesce(start, F.lit("")) == "") | (F.coalesce(other, F.lit("")) == "")
+    lost = number(a).isNull() | number(c).isNull()
+    return (
+        F.when(blank, "missing")
+        .when(lost, F.when((start == other) & F.coalesce(end, start).eqNullSafe(F.coalesce(other_end, other)), "exact").when((start == other) | (end == other_end), "overlap").otherwise("different"))
+        .when((lo == low) & (hi == high), "exact")
+        .when(((lo <= low) & (high <= hi)) | ((low <= lo) & (hi <= high)), "within")
+        .when((lo <= high) & (low <= hi), "overlap")
+        .when(apart == 1, "off_by_one")
+        .otherwise("different")
+    )
+
+
+def modern_date(c: Column) -> Column:
+    """The modern ISO date of the first Italian date in c: a second year decides; without one, a date before 25 March
+    could be of two years until 1750, and is null."""
+    iso, short = italian_date(c), F.regexp_extract(c, DAY, 4)
+    rest = F.substring(iso, 5, 6)
+    return F.when(short != "", F.concat(F.substring(iso, 1, 2), short, rest)).when((F.substring(iso, 6, 5) >= "03-25") | (iso >= "1750"), iso)
+
+
+def shown_date(iso: Column) -> Column:
+    """An ISO date as 20 Mar 1534."""
+    return F.date_format(F.to_date(iso), "d MMM yyyy")
+
+
+def display_text(c: Column) -> Column:
+    """Text for people: a dash where there is none."""
+    bare = F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    return F.when(bare == "", "—").otherwise(bare)
+
+
+def yes_no(c: Column) -> Column:
+    return F.when(c.cast("int") == 1, "Yes").when(c.cast("int") == 0, "No").otherwise("—")
+
+
+def clean_document(c: Column, breaks: str = "\n") -> Column:
+    """Line ends that were stored as the letters \\r\\n, as breaks."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(\\r)?\\n|\\r", breaks)
+
+
+def display_name(first: Column, father: Column, last: Column) -> Column:
+    """First name, father's name and family name, without what is missing."""
+    full = F.array_join(F.filter(F.array(first, father, last), lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), " ")
+    return F.when(full == "", "(unnamed)").otherwise(full)
+
+
+def strength_band(c: Column) -> Column:
+    return F.when(c.isNull(), "unknown").when(c >= 0.75, "strong").when(c >= 0.5, "partial").otherwise("weak")

@@ -11,8 +11,19 @@ from pyspark.sql import functions as F
 from ..functions.predicates import has_key
 from ..sources.archive import Archive
 
-#: How grave each rule's finding is.
-SEVERITY = {"broken_economic_sector": "high", "missing_reg_date": "high", "no_partners": "high", "dup_partner": "medium", "person_no_name": "medium", "broken_place": "medium", "guardian_no_ward": "low", "no_gp": "medium", "missing_sub_type": "medium", "widow_not_woman": "low"}
+#: The label that reviewers see, and how grave each rule's finding is.
+LABELS = {
+    "broken_economic_sector": ("Broken economic sector", "high"),
+    "missing_reg_date": ("Missing registration date", "high"),
+    "no_partners": ("No partners recorded", "high"),
+    "dup_partner": ("Possible duplicate partner", "medium"),
+    "person_no_name": ("Unnamed person", "high"),
+    "broken_place": ("Broken place", "high"),
+    "guardian_no_ward": ("Guardian — ward not recorded", "medium"),
+    "no_gp": ("No general partner", "medium"),
+    "missing_sub_type": ("Act type missing", "medium"),
+    "widow_not_woman": ("Marked widow, not a woman", "medium"),
+}
 
 
 def empty(name: str):
@@ -55,8 +66,10 @@ def dup_partner(a: Archive) -> DataFrame:
     links = a.live_investor_group.select("investor_id", "investment_id")
     sums = a.live_investment.select("investment_id", "type", "investment_cash")
     rows = mine.join(twice, key).join(a.contract.select("contract_id"), "contract_id", "left_semi").join(links, "investor_id", "left").join(sums, "investment_id", "left")
-    kinds = rows.groupBy(key).agg(F.countDistinct("type").alias("roles"), F.countDistinct("investment_id").alias("invs"), F.countDistinct("investment_cash").alias("cashes"))
-    return found(kinds.where("roles <= 1 and invs <= 1 and cashes <= 1"), "dup_partner", "contract", "contract_id", "person_id")
+    stakes = ("type", "investment_id", "investment_cash")
+    ends = rows.groupBy(key).agg(*(f(c).alias(f"{f.__name__}_{c}") for c in stakes for f in (F.min, F.max)))
+    one = [F.col(f"min_{c}").eqNullSafe(F.col(f"max_{c}")) for c in stakes]  # no two values, nulls aside
+    return found(ends.where(one[0] & one[1] & one[2]), "dup_partner", "contract", "contract_id", "person_id")
 
 
 def person_no_name(a: Archive) -> DataFrame:
@@ -98,11 +111,13 @@ RULES: list[Callable[[Archive], DataFrame]] = [broken_economic_sector, missing_r
 
 
 def flags(a: Archive, dismissed: DataFrame | None = None) -> DataFrame:
-    """All flags with their severity, without those whose key was dismissed."""
+    """All flags with their label and severity, without those whose key was dismissed."""
     rows = reduce(DataFrame.unionByName, [rule(a) for rule in RULES])
     if dismissed is not None:
         rows = rows.join(dismissed.select("flag_key"), "flag_key", "left_anti")
-    return rows.withColumn("severity", F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])[F.col("grp")])
+    for k, name in enumerate(("label", "severity")):
+        rows = rows.withColumn(name, F.create_map(*[F.lit(x) for group, told in LABELS.items() for x in (group, told[k])])[F.col("grp")])
+    return rows
 
 
 # Integrity: what a maintainer should repair.

@@ -29,12 +29,14 @@ def segments(df: DataFrame, by: str, order: str, label: Column, context: Column)
 
 
 def unique_keys(df: DataFrame, key: str, content: str, order: str, out: str) -> DataFrame:
-    """Keys that collide get _hash8 of the content, those that still do _n in order."""
-    many = F.count("*").over(Window.partitionBy(key)) > 1
-    hashed = F.concat(F.col(key), F.lit("_"), F.substring(F.sha2(F.col(content), 256), 1, 8))
-    df = df.withColumn("_k", F.when(many, hashed).otherwise(F.col(key)))
-    nth = F.row_number().over(Window.partitionBy("_k").orderBy(order)) - 1
-    return df.withColumn(out, F.when(nth > 0, F.concat("_k", F.lit("_"), nth.cast("string"))).otherwise(F.col("_k"))).drop("_k")
+    """Keys that collide get _hash8 of the content, those that still do _n in order. Collisions are counted by partial
+    sums; only rows of equal key and content meet in a window, without their content."""
+    rows = df.select(F.col(key).alias("_key"), F.col(order).alias("_at"), F.substring(F.sha2(F.col(content), 256), 1, 8).alias("_h"))
+    many = rows.groupBy("_key").agg(F.count("*").alias("_n"))
+    rows = rows.join(many, "_key").withColumn("_k", F.when(F.col("_n") > 1, F.concat_ws("_", "_key", "_h")).otherwise(F.col("_key")))
+    nth = F.row_number().over(Window.partitionBy("_k").orderBy("_at")) - 1
+    named = rows.withColumn(out, F.when(nth > 0, F.concat("_k", F.lit("_"), nth.cast("string"))).otherwise(F.col("_k")))
+    return named.select(F.col("_at").alias(order), out)
 
 
 def best(df: DataFrame, by: list[str], score: str, order: str) -> DataFrame:

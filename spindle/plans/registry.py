@@ -56,4 +56,4 @@ def load_all() -> None:
         importlib.import_module(f"spindle.plans.{name}")
 
 
-MODULES = ["library", "rules", "surface"]
+MODULES = ["acts", "library", "records", "rules", "surface"]
