@@ -194,7 +194,12 @@ def hidden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oplog.hidden(e).select("pk")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, 'a' AS state, 0 AS gone, CAST(0 AS BIGINT) AS applied, CAST(0 AS BIGINT) AS conflicts FROM events
+UNION ALL SELECT f.user_id, o.k, CASE WHEN t = 'view' AND state = 'a' THEN 'b' WHEN t = 'click' AND state = 'b' THEN 'a' ELSE state END, CASE t WHEN 'error' THEN 1 WHEN 'purchase' THEN 0 ELSE gone END,
+applied + CASE WHEN t IN ('error', 'purchase') OR (t = 'view' AND state = 'a') OR (t = 'click' AND state = 'b') THEN 1 ELSE 0 END,
+conflicts + CASE WHEN t = 'signup' OR (t = 'view' AND state <> 'a') OR (t = 'click' AND state <> 'b') THEN 1 ELSE 0 END FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+SELECT 't' AS db_table, CAST(user_id AS VARCHAR) AS pk, '{"state": "' || state || '"}' AS row, gone AS is_deleted, applied, conflicts FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""")
 def replay_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change log folded over a seed; each user's events are operations on that user's record."""
     e = _read(spark, sf_dir, "events")
