@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch, tidy
-from .tokens import Ids
+from .tokens import ids_of
 
 END = (2).to_bytes(4, "little")
 GRAIN = 16
@@ -34,7 +34,7 @@ def cutter(path: str, size: int):
     """(id, text) -> whole sequences and the remainder of each document. salt tells rows that repeat an id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
+        ids = ids_of(path)
         for b in batches:
             cols: list[list] = [[], [], [], [], [], []]
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -127,7 +127,7 @@ def recount(path: str):
     schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("doc_tokens", pa.int64()), ("seq", pa.int64()), ("off", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
+        ids = ids_of(path)
         for b in batches:
             cols: list[list] = [[] for _ in schema]
             for i, t, salt, cuts in zip(*(c.to_pylist() for c in b.columns), strict=True):

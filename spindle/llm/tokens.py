@@ -35,8 +35,8 @@ ODD = re.compile(f"[^\\t\\n\\r -~{LETTERS}]")
 #: The pieces of byte_bpe_50k.json and of word_bpe_49k.json, over the plain set.
 BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
-#: Chunks or words that a task remembers; pieces that are broadcast.
-MOST, HEAD = 100_000, 1 << 18
+#: Chunks that a task remembers; words that a worker does; pieces that are broadcast.
+MOST, WORDS, HEAD = 100_000, 300_000, 1 << 18
 
 
 @cache
@@ -239,21 +239,36 @@ class Ids(dict):
         return b"".join(i.to_bytes(4, "little") for i in self.tok.encode(text, add_special_tokens=False).ids)
 
     def piece(self, p: str) -> bytes:
-        found = self.pieces.get(p)
+        # the model names bytes by characters; those of ASCII are themselves
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(p)]) if p.isascii() else self.whole(p)
+
+    def common(self, p: str) -> bytes:
+        """A piece of a word of several: mostly punctuation, or a word without it."""
+        found = self.get(p)
+        if found is None:
+            found = self.pieces.get(p)
         if found is None:
-            if len(self.pieces) > MOST:
+            if len(self.pieces) > WORDS // 3:
                 self.pieces.clear()
-            # the model names bytes by characters; those of ASCII are themselves
-            found = self.pieces[p] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(p)]) if p.isascii() else self.whole(p)
+            found = self.pieces[p] = self.piece(p)
         return found
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > MOST:
+        if len(self) > WORDS:
             self.clear()
-        self[word] = out = b"".join([self.piece(p) for p in WORD_PIECES.findall(word)])
+        ps = WORD_PIECES.findall(word)
+        self[word] = out = self.piece(word) if ps == [word] else b"".join(map(self.common, ps))
         return out
 
     def encode(self, text: str) -> bytes:
         if ODD.search(text) or "<|" in text:
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.lower().split()))
+
+
+_ids: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    """The worker's words of a file, at most WORDS of them."""
+    return _ids.get(path) or _ids.setdefault(path, Ids(path))
