@@ -147,22 +147,24 @@ def db_folio(c: Column) -> Column:
 
 def folio_relation(start: Column, end: Column, other: Column, other_end: Column) -> Column:
     """How two spans of folios stand to each other: missing, exact, within, overlap, off_by_one or different."""
-    a, b = folio_key(start), folio_key(F.coalesce(end, start))
-    c, d = folio_key(other), folio_key(F.coalesce(other_end, other))
-    lo, hi, low, high = F.least(a, b), F.greatest(a, b), F.least(c, d), F.greatest(c, d)
-    number = lambda k: F.element_at(F.array(k), 1)["col1"]
-    apart = F.greatest(number(low) - number(hi), number(lo) - number(high))
-    blank = (F.coalesce(start, F.lit("")) == "") | (F.coalesce(other, F.lit("")) == "")
-    lost = number(a).isNull() | number(c).isNull()
-    return (
-        F.when(blank, "missing")
-        .when(lost, F.when((start == other) & F.coalesce(end, start).eqNullSafe(F.coalesce(other_end, other)), "exact").when((start == other) | (end == other_end), "overlap").otherwise("different"))
-        .when((lo == low) & (hi == high), "exact")
-        .when(((lo <= low) & (high <= hi)) | ((low <= lo) & (hi <= high)), "within")
-        .when((lo <= high) & (low <= hi), "overlap")
-        .when(apart == 1, "off_by_one")
-        .otherwise("different")
-    )
+    spans = ((start, end), (other, other_end))
+    keys = F.struct(*[folio_key(x).alias(f"k{i}{j}") for i, (lo, hi) in enumerate(spans) for j, x in enumerate((lo, F.coalesce(hi, lo)))], *[F.coalesce(x, F.lit("")).alias(f"t{i}{j}") for i, (lo, hi) in enumerate(spans) for j, x in enumerate((lo, F.coalesce(hi, lo)))])
+
+    def told(x: Column) -> Column:
+        lo, hi, low, high = F.least(x["k00"], x["k01"]), F.greatest(x["k00"], x["k01"]), F.least(x["k10"], x["k11"]), F.greatest(x["k10"], x["k11"])
+        apart = F.greatest(low["col1"] - hi["col1"], lo["col1"] - high["col1"])
+        first, last = x["t00"] == x["t10"], x["t01"] == x["t11"]
+        return (
+            F.when((x["t00"] == "") | (x["t10"] == ""), "missing")
+            .when(x["k00"]["col1"].isNull() | x["k10"]["col1"].isNull(), F.when(first & last, "exact").when(first | last, "overlap").otherwise("different"))
+            .when((lo == low) & (hi == high), "exact")
+            .when(((lo <= low) & (high <= hi)) | ((low <= lo) & (hi <= high)), "within")
+            .when((lo <= high) & (low <= hi), "overlap")
+            .when(apart == 1, "off_by_one")
+            .otherwise("different")
+        )
+
+    return F.get(F.transform(F.array(keys), told), F.lit(0))  # the keys are made once, then compared
 
 
 def modern_date(c: Column) -> Column:
