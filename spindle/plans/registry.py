@@ -56,4 +56,4 @@ def load_all() -> None:
         importlib.import_module(f"spindle.plans.{name}")
 
 
-MODULES = ["acts", "library", "records", "rules", "surface"]
+MODULES = ["acts", "decisions", "library", "records", "rules", "surface"]
