@@ -6,10 +6,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.currency import currency_signature, currency_skeleton
 from ..functions.text import activity_signature, lookup_key, place_signature, title_signature
 
 #: A signature for each kind of term.
-MATCHERS = {"activity": activity_signature, "title": title_signature, "place": place_signature}
+MATCHERS = {"currency": currency_signature, "activity": activity_signature, "title": title_signature, "place": place_signature}
 
 
 def families(terms: DataFrame, kind: str) -> DataFrame:
@@ -19,6 +20,18 @@ def families(terms: DataFrame, kind: str) -> DataFrame:
     return found.where("n > 1").select("signature", F.transform("terms", lambda t: F.struct(t["id"].alias("id"), t["value"].alias("value"), t["count"].alias("count"))).alias("terms"), "total")
 
 
+def currency_cautions(terms: DataFrame) -> DataFrame:
+    """terms(id, value, count) -> (skeleton, terms, total): currencies that differ in their rate alone and must not be joined.
+
+    Of each signature with a figure the most used term stands for it (the smallest id on ties), so what is gathered for a
+    skeleton is one term for each rate.
+    """
+    t = terms.withColumns({"signature": currency_signature(F.col("value")), "skeleton": currency_skeleton(F.col("value"))}).where("contains(signature, '=')")
+    most = t.groupBy("skeleton", "signature").agg(F.min(F.struct((-F.col("count")).alias("order"), "id", "value", "count")).alias("t"))
+    found = most.groupBy("skeleton").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("t")).alias("terms"), F.sum("t.count").alias("total"))
+    return found.where("n > 1").select("skeleton", F.transform("terms", lambda x: F.struct(x["id"].alias("id"), x["value"].alias("value"), x["count"].alias("count"))).alias("terms"), "total")
+
+
 def undecided(members: DataFrame, links: DataFrame) -> DataFrame:
     """Families in which some pair is neither joined (same_as, variant_of, also through others) nor called distinct.
 

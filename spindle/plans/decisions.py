@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import decisions
+from ..operators import decisions, vocabulary
 from ..sources.archive import Archive
 from .registry import archive_query, query
 
@@ -129,3 +129,32 @@ def image_links(a: Archive) -> DataFrame:
     entries = a.contract.select(k.alias("entry_id"), F.trim("folder").alias("register_id"), leaf.alias("folio_start"), F.when(k % 3 == 0, leaf).otherwise(leaf + 1).alias("folio_end"))
     scans = a.live_sub_contract.select(F.col("folder").alias("register_id"), leaf.alias("folio")).distinct()
     return decisions.image_links(entries, scans.withColumn("path", F.concat_ws("/", "register_id", "folio")))
+
+
+#: name -> signature, signature without figures
+CURRENCIES = [
+    ("Scudi d'oro larghi", "scudo · largo oro", "scudo · largo oro"), ("scudo di oro largo", "scudo · largo oro", "scudo · largo oro"), ("Scudi di lire 7", "scudo · lira=7", "scudo · lira"),
+    ("scudi, lire 7 l'uno", "scudo · lira=7", "scudo · lira"), ("scudi di lire 7:10", "scudo · lira=7 soldo=10", "scudo · lira soldo"), ("scudi di lire 7 soldi 10", "scudo · lira=7 soldo=10", "scudo · lira soldo"),
+    ("scudi di lire 8", "scudo · lira=8", "scudo · lira"), ("ducati di 10 carlini", "ducato · carlino=10", "ducato · carlino"), ("ducati di carlini", "ducato · §carlino", "ducato · §carlino"),
+    ("Fiorini veneziani correnti", "fiorino · veneziana · corrente", "fiorino · veneziana · corrente"), ("pezze 3", "pezza · ?=3", "pezza · ?"), ("pezze 4", "pezza · ?=4", "pezza · ?"),
+]
+_VALUES = ", ".join("({}, '{}', '{}', '{}')".format(k, *(x.replace("'", "''") for x in c)) for k, c in enumerate(CURRENCIES))
+_TERMS = f"WITH v(k, value, signature, skeleton) AS (VALUES {_VALUES}), t AS (SELECT p_partkey AS id, value, signature, skeleton, p_size AS n FROM part JOIN v ON k = p_partkey % {len(CURRENCIES)})"
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = _texts(*(c[0] for c in CURRENCIES))[(F.col("p_partkey") % len(CURRENCIES)).cast("int")]
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name.alias("value"), F.col("p_size").cast("long").alias("count"))
+
+
+@query(f"{_TERMS} SELECT signature, count(DISTINCT id) AS members, CAST(sum(n) AS BIGINT) AS total FROM t GROUP BY 1 HAVING count(DISTINCT id) > 1")
+def currency_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Currencies that differ in spelling alone, with their use (parts stand for terms)."""
+    return vocabulary.families(_terms(spark, sf_dir), "currency").select("signature", F.size("terms").cast("long").alias("members"), "total")
+
+
+@query(f"{_TERMS}, m AS (SELECT skeleton, signature, arg_min(id, (-n, id)) AS id, max(n) AS n FROM t WHERE contains(signature, '=') GROUP BY 1, 2) SELECT skeleton, string_agg(CAST(id AS VARCHAR), ',' ORDER BY -n, id) AS terms, CAST(sum(n) AS BIGINT) AS total FROM m GROUP BY 1 HAVING count(*) > 1")
+def currency_cautions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Currencies that differ in their rate alone."""
+    found = vocabulary.currency_cautions(_terms(spark, sf_dir))
+    return found.select("skeleton", F.array_join(F.transform("terms", lambda x: x["id"].cast("string")), ",").alias("terms"), "total")
