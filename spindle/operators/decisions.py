@@ -28,7 +28,7 @@ def select_links(candidates: DataFrame, entries: DataFrame) -> DataFrame:
     candidates: the ranked ones of each entry (linkage.top(), so a few rows) with row_id, db_table, contract_id,
     main_contract_id, sub_type, ratio and what linkable() and strong_secondary() read. entries: entry_id, status, combined
     (its label names several acts), several (its text does), numbers (all that it names). Every step is a window over
-    entry_id, so there is one shuffle of candidates.
+    entry_id, so candidates are shuffled once.
     """
     c, w = F.col, Window.partitionBy("entry_id")
     false = F.lit(False)
@@ -113,14 +113,13 @@ def proposal_states(proposals: DataFrame, log: DataFrame) -> DataFrame:
     proposals: proposal_id, before, live (values). log: proposal_id, action (approve, reject, apply, revert), seq. A
     proposal is decided once, applied only after its approval and while the live value is still the one before, and
     reverted only after that; other steps change nothing. A state is the first step of its kind after the former, so
-    three aggregates give it and no history is gathered.
+    three joins with an aggregate each, all by proposal_id, give it and no history is gathered.
     """
 
     def first(steps: DataFrame, name: str, after: str | None, *actions: str) -> DataFrame:
-        s = log.where(F.col("action").isin(*actions))
-        if after:
-            s = s.join(steps.select("proposal_id", after), "proposal_id").where(F.col("seq") > F.col(after))
-        return steps.join(s.groupBy("proposal_id").agg(F.min(F.struct("seq", "action")).alias(name)), "proposal_id", "left")
+        s = log.where(F.col("action").isin(*actions)).select(F.col("proposal_id").alias("of"), "seq", "action")
+        met = (F.col("proposal_id") == F.col("of")) & (F.col("seq") > F.col(after) if after else F.lit(True))
+        return steps.join(s, met, "left").groupBy(*steps.columns).agg(F.min(F.when(F.col("of").isNotNull(), F.struct("seq", "action"))).alias(name))
 
     steps = first(proposals, "d", None, "approve", "reject").withColumn("decided", F.col("d.seq")).withColumn("open", F.when((F.col("d.action") == "approve") & F.col("before").eqNullSafe(F.col("live")), F.col("d.seq")))
     steps = first(steps, "a", "open", "apply").withColumn("applied", F.col("a.seq"))
