@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are cut into passages and weighted by TF-IDF; document frequencies are those of the whole corpus, counted
-in a sketch of fixed size that never counts too few. The items' passages and passages of a bounded sample of documents
-that share the items' words are factorised by a randomised SVD whose products A'(A X) are summed over partitions; its
-rank is well below the number of passages, so that words that stand in the same passages stand for each other. Windows
+in a sketch of fixed size that never counts too few. The items' passages and all passages of the corpus in which the
+items' words carry a least share of the weight are factorised by a randomised SVD whose products A'(A X) are summed over
+partitions; its rank is well below the number of passages, so that words that stand in the same passages stand for each
+other. The items' words have a row of the space each, all other words share OTHERS rows by hash. Windows
 of every document are projected into the same latent space; those whose cosine with a passage reaches a threshold are
 candidates. A candidate is a leak if the longest common subsequence of the item and the text around the window covers
 enough of the item; below a near-verbatim share, the item's answer must be covered as well.
@@ -24,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, tidy, union
+from .common import Scratch, batch, tidy, union
 
 #: Items of a block; latent dimensions; words of passages (an item takes the largest that it fills).
 BLOCK, RANK, WIDTHS = 2000, 192, (16, 32, 64)
-#: Counters of the sketch, dealt in slices; documents of the sample that the latent space is fitted on as well, and the
-#: most passages taken from them.
-COUNTERS, SLICE, SAMPLE, TAKEN = 1 << 20, 1 << 14, 3000, 2000
+#: Counters of the sketch, dealt in slices; rows of the latent space for words that the items don't have.
+COUNTERS, SLICE, OTHERS = 1 << 20, 1 << 14, 1 << 15
+#: As many of the corpus' passages as weigh together what all of them do, so that the items' own count however large the
+#: corpus is; tasks that go over them.
+WEIGHT, TASKS = 2000, 4
 #: Least share of a window's weight that the items' words must carry.
 ABLE = 0.42
 #: Least cosine of a candidate; least share of an item in a leak, share from which the answer is not asked for, and the answer's.
@@ -71,14 +74,35 @@ def positions(item: list[int]) -> dict[int, int]:
     return out
 
 
-def randomised_basis(spark, vectors: list[tuple[np.ndarray, np.ndarray]], size: int, rank: int, rounds: int = 3) -> np.ndarray:
+def orthonormal(y: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Orthonormal columns that span those of y, largest first, zeros for what y's rank lacks; made from y'y, a few rows
+    at a time, in y's place: the driver holds no copy in double precision."""
+    parts = range(0, len(y), step)
+    values, turn = np.linalg.eigh(sum((z.T @ z for z in (y[at : at + step].astype(np.float64) for at in parts)), np.zeros((y.shape[1],) * 2)))
+    values, turn = values[::-1], turn[:, ::-1]
+    keep = values > values[0] * 1e-12
+    turn = turn * np.where(keep, 1 / np.sqrt(np.where(keep, values, 1)), 0)
+    for at in parts:
+        y[at : at + step] = y[at : at + step].astype(np.float64) @ turn
+    return y
+
+
+VECTOR = pa.schema([("i", pa.binary()), ("w", pa.binary()), ("scale", pa.float64())])
+VECTOR_SQL = "i binary, w binary, scale double"
+
+
+def randomised_basis(spark, vectors: list[tuple[np.ndarray, np.ndarray]], size: int, rank: int, rounds: int = 3, more: DataFrame | None = None, scale: float = 1.0) -> np.ndarray:
     """Orthonormal basis (size x rank) of the leading row space of sparse vectors, by subspace iteration from random columns.
 
     The vectors are dealt over partitions; each round every partition gives its share of A'(A X), and the shares are summed.
+    more: further vectors as (i: int32s, w: float32s), whose products count scale times.
     """
-    rank = max(1, min(rank, len(vectors), size))
-    x = np.linalg.qr(np.random.default_rng(8).standard_normal((size, min(size, rank + 8))))[0].astype(np.float32)
-    rows = spark.createDataFrame(pa.table({"i": [v[0].astype(np.int32).tolist() for v in vectors], "w": [v[1].astype(np.float32).tolist() for v in vectors]})).repartition(1 + len(vectors) // 1000)
+    rank = max(1, min(rank, len(vectors) if more is None else size, size))
+    x = orthonormal(np.random.default_rng(8).standard_normal((size, min(size, rank + 8)), np.float32))
+    own = pa.table([[v[0].astype(np.int32).tobytes() for v in vectors], [v[1].astype(np.float32).tobytes() for v in vectors], [1.0] * len(vectors)], schema=VECTOR)
+    rows = spark.createDataFrame(own).repartition(1 + len(vectors) // 1000)
+    if more is not None:
+        rows = rows.unionByName(more.select("i", "w", F.lit(scale).alias("scale")).coalesce(TASKS))
     schema = pa.schema([("at", pa.int64()), ("y", pa.binary())])
     step = 4096
     for _ in range(rounds):
@@ -88,17 +112,27 @@ def randomised_basis(spark, vectors: list[tuple[np.ndarray, np.ndarray]], size:
             x = shared.value
             y = np.zeros_like(x)
             for b in batches:
-                for i, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    w = np.array(w, np.float32)[:, None]
-                    y[i] += w * (w * x[i]).sum(0)
+                for i, w, scale in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    i, w = np.frombuffer(i, np.int32), np.frombuffer(w, np.float32)
+                    y[i] += np.outer(w * np.float32(scale), w @ x[i])
             for at in range(0, size, step):
                 yield batch(schema, [[at], [y[at : at + step].tobytes()]])
 
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for b in batches:
+                for at, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    y = np.frombuffer(y, np.float32)
+                    held[at] = held[at] + y if at in held else y
+            for at, y in held.items():
+                yield batch(schema, [[at], [y.tobytes()]])
+
         y = np.zeros_like(x)
-        for at, part in rows.mapInArrow(tidy(share), "at long, y binary").collect():
-            y[at : at + step] += np.frombuffer(part, np.float32).reshape(-1, x.shape[1])
+        # size / step rows, whatever the corpus
+        for at, part in rows.mapInArrow(tidy(share), "at long, y binary").repartition("at").mapInArrow(tidy(add), "at long, y binary").collect():
+            y[at : at + step] = np.frombuffer(part, np.float32).reshape(-1, x.shape[1])
         shared.unpersist()
-        x = np.linalg.qr(y.astype(np.float64))[0].astype(np.float32)
+        x = orthonormal(y)
     return x[:, :rank]
 
 
@@ -123,6 +157,11 @@ class Codes(dict):
         return k
 
 
+def slots(at: np.ndarray, own: int) -> np.ndarray:
+    """Rows of the latent space of codes: the items' words have their own, others one by their counter."""
+    return np.where(at < own, at, own + (at - own) % OTHERS)
+
+
 def frequencies(src: DataFrame) -> tuple[np.ndarray, int]:
     """(documents on each counter of words, documents): a word is in at most as many documents as its counter says."""
     size, step = COUNTERS, SLICE
@@ -194,7 +233,8 @@ def searcher(shared):
                 np.add.at(used, last - first[0], -1)
                 held = np.cumsum(used) > 0  # words of some window
                 place = np.concatenate(([0], np.cumsum(held)))
-                sums = np.cumsum(s["basis"][np.minimum(at[first[0] : last[-1]][held[:-1]], len(s["basis"]) - 1)], axis=0)
+                met = at[first[0] : last[-1]][held[:-1]]
+                sums = np.cumsum(s["basis"][slots(met, s["own"])] * s["scale"][met, None], axis=0)
                 sums = np.concatenate((np.zeros((1, sums.shape[1]), np.float32), sums))
                 v = sums[place[last - first[0]]] - sums[place[first - first[0]]]
                 cosines = v @ latent.T / (np.sqrt((v * v).sum(1, keepdims=True)) + 1e-12)
@@ -232,8 +272,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     answer_col: a column with the item's answer; without one, the last quarter of the item is what is asked for. Null
     and empty texts, items without words and rows with a null id match nothing. Rows that repeat an id with its text
     give equal rows; an item id that repeats with other texts counts by the last of them. Other columns are ignored.
-    Empty tables give none. The latent space is fitted on the items and on SAMPLE documents, those whose ids have the
-    smallest hashes.
+    Empty tables give none. The latent space is fitted on the items and on all documents.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
@@ -251,32 +290,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return union(found)
 
 
-def related(spark, src: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray) -> list[list[bytes]]:
-    """At most TAKEN passages, of the documents of the sample, in which the items' words carry the least share of the weight."""
-    known, width_, able = spark.sparkContext.broadcast((set(vocabulary), idf)), WIDTHS[1], ABLE
+def related(spark, src: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray) -> DataFrame:
+    """(i, w): the distinct passages, of all documents, in which the items' words carry the least share of the weight, as
+    vectors of the latent space's rows."""
+    known, width_, able = spark.sparkContext.broadcast((vocabulary, idf)), WIDTHS[1], ABLE
+    schema = pa.schema([("i", pa.binary()), ("w", pa.binary())])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, idf = known.value
-        schema = pa.schema([("h", pa.int64()), ("p", pa.binary())])
+        vocabulary, idf = known.value
+        codes, own = Codes(vocabulary), len(vocabulary)
+        weight = np.concatenate(([idf[counter(x)] for x in vocabulary], idf)).astype(np.float32)
         for b in batches:
-            out = {}
-            for text in b.column(0).to_pylist():
-                w = words(text)
-                weight = np.array([float(idf[counter(x)]) ** 2 for x in w])
-                mine = np.array([x in own for x in w], bool)
-                for at in range(0, len(w), width_):
-                    x = weight[at : at + width_]
-                    if x[mine[at : at + width_]].sum() >= able * x.sum():
-                        p = b" ".join(w[at : at + width_])
-                        out[p] = xxhash.xxh3_64_intdigest(p) >> 1
-            if out:
-                yield batch(schema, [list(out.values()), list(out)])
-
-    sample = src.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)  # SAMPLE ids at most, whatever the corpus
-    texts_of = src.join(F.broadcast(sample.distinct()), "id", "left_semi").select("text")
-    rows = texts_of.mapInArrow(tidy(pick), "h long, p binary").distinct().orderBy("h", "p").limit(TAKEN).collect()
-    known.unpersist()
-    return [bytes(r["p"]).split() for r in rows]
+            for lo in range(0, b.num_rows, 500):
+                out: set[tuple[bytes, bytes]] = set()
+                for text in b.column(0).slice(lo, 500).to_pylist():
+                    w = words(text)
+                    if not w:
+                        continue
+                    at = np.fromiter(map(codes.__getitem__, w), np.int64, len(w))
+                    x = weight[at] ** 2
+                    starts = np.arange(0, len(w), width_)
+                    mine, total = np.add.reduceat(np.where(at < own, x, 0), starts), np.add.reduceat(x, starts)
+                    for k in starts[mine >= able * total].tolist():
+                        part = at[k : k + width_]
+                        i, place = np.unique(slots(part, own), return_inverse=True)
+                        out.add((i.astype(np.int32).tobytes(), np.bincount(place, weight[part]).astype(np.float32).tobytes()))
+                if out:
+                    yield batch(schema, list(zip(*out, strict=True)))
+
+    return Scratch(spark).keep(src.select("text").mapInArrow(tidy(pick), "i binary, w binary").distinct())
 
 
 def search(spark, src: DataFrame, block: list, idf: np.ndarray) -> DataFrame:
@@ -292,10 +334,6 @@ def search(spark, src: DataFrame, block: list, idf: np.ndarray) -> DataFrame:
         return src.sparkSession.createDataFrame([], "id long, item long, cosine double, share double")
     own = len(vocabulary)
     others = related(spark, src, vocabulary, idf)
-    # a word that stands in one passage alone, and in no item, stands for no other word
-    met = Counter(x for p in others for x in set(p))
-    for x in sorted(x for x, n in met.items() if n > 1):
-        vocabulary.setdefault(x, len(vocabulary))
     weight = np.array([idf[counter(x)] for x in vocabulary])
 
     cut, vectors = [], []
@@ -304,11 +342,8 @@ def search(spark, src: DataFrame, block: list, idf: np.ndarray) -> DataFrame:
             at, tf = np.unique(np.array(p), return_counts=True)
             vectors.append((at, tf * weight[at]))
             cut.append((width(len(w)), item))
-    for p in others:
-        at, tf = np.unique(np.array([vocabulary[x] for x in p if x in vocabulary], np.int64), return_counts=True)
-        if len(at):
-            vectors.append((at, tf * weight[at]))
-    basis = randomised_basis(spark, vectors, len(vocabulary), RANK)
+    n = others.count()
+    basis = randomised_basis(spark, vectors, own + OTHERS, min(RANK, len(vectors) + n), more=others, scale=min(1.0, WEIGHT / max(1, n)))
     by_width: dict[int, tuple] = {}
     for wide in WIDTHS:
         mine = [k for k, (x, _) in enumerate(cut) if x == wide]
@@ -316,10 +351,8 @@ def search(spark, src: DataFrame, block: list, idf: np.ndarray) -> DataFrame:
             latent = np.array([vectors[k][1].astype(np.float32) @ basis[vectors[k][0]] for k in mine])
             by_width[wide] = (latent / (np.linalg.norm(latent, axis=1, keepdims=True) + 1e-12), [cut[k][1] for k in mine])
     marks = {item: (positions(w), len(w), positions(a), len(a)) for item, w, a in held}
-    # a word's row in the latent space times its weight; the last row is that of words that the space doesn't have
-    rows = np.concatenate((basis * weight[:, None], np.zeros((1, basis.shape[1])))).astype(np.float32)
-    squares = np.concatenate((weight, idf)).astype(np.float32) ** 2
-    shared = spark.sparkContext.broadcast({"vocabulary": vocabulary, "own": own, "weight": squares, "basis": rows, "passages": by_width, "items": marks, "cosine": COSINE, "able": ABLE})
+    scale = np.concatenate((weight, idf)).astype(np.float32)
+    shared = spark.sparkContext.broadcast({"vocabulary": vocabulary, "own": own, "weight": scale**2, "scale": scale, "basis": basis, "passages": by_width, "items": marks, "cosine": COSINE, "able": ABLE})
     return src.mapInArrow(tidy(searcher(shared)), "id long, item long, cosine double, share double")
 
 

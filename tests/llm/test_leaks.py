@@ -131,3 +131,17 @@ def test_long_texts_blocks_and_odd_rows(spark, monkeypatch):
     bench = spark.createDataFrame(items, ITEMS).withColumn("id", F.lit(1)).withColumn("answer", F.lit("no"))
     out = sorted(((r["doc_id"], r["item_ids"]) for r in d.decontaminate(df, bench).collect()), key=str)
     assert out == sorted([(1, [5]), (2, [0]), (2, [0]), (2, [0]), (None, []), (4, []), (5, [])], key=str)
+
+
+def test_the_space_is_fitted_on_all_documents(spark):
+    """Passages of every document are in the fit, however many documents there are and wherever they stand."""
+    from spindle.llm import decontamination as d
+
+    rng = random.Random(35)
+    item = brute.sentence(rng, 32).split()
+    rows = [(k, brute.sentence(rng, 20)) for k in range(4000)] + [(4000 + k, " ".join(item[:24] + [f"only{k}x{j}" for j in range(8)])) for k in range(3000)]
+    src = spark.createDataFrame(rows, DOCS).withColumnRenamed("doc_id", "id")
+    vocabulary = {x: k for k, x in enumerate(dict.fromkeys(x.encode() for x in item))}
+    idf = np.ones(d.COUNTERS, np.float32)
+    # each of the 3,000 documents has a passage of its own; the sample had 3,000 of 7,000 documents and 2,000 passages
+    assert d.related(spark, src, vocabulary, idf).count() >= 2990
