@@ -145,3 +145,22 @@ def test_the_space_is_fitted_on_all_documents(spark):
     idf = np.ones(d.COUNTERS, np.float32)
     # each of the 3,000 documents has a passage of its own; the sample had 3,000 of 7,000 documents and 2,000 passages
     assert d.related(spark, src, vocabulary, idf).count() >= 2990
+
+
+def test_the_pipeline_fits_the_space_on_all_documents(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from spindle.llm import decontamination as d
+
+    rng = random.Random(36)
+    item = brute.sentence(rng, 32).split()
+    rows = [(k, " ".join(rng.sample(item, 20))) for k in range(2500)]
+    spark.createDataFrame([(1, " ".join(item))], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    fitted, basis = [], d.randomised_basis
+
+    def counted(*args, more=None, **names):
+        fitted.append(more.count() if more is not None else 0)
+        return basis(*args, more=more, **names)
+
+    monkeypatch.setattr(d, "randomised_basis", counted)
+    corpus_pipeline.drop_leaks(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).count()
+    assert fitted[0] >= 2490
