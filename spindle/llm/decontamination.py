@@ -1,23 +1,24 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are cut into passages and weighted by TF-IDF; document frequencies are those of the whole corpus, counted
-in a sketch of fixed size that never counts too few. The items' passages and all passages of the corpus in which the
-items' words carry a least share of the weight are factorised by a randomised SVD whose products A'(A X) are summed over
-partitions; its rank is well below the number of passages, so that words that stand in the same passages stand for each
-other. The items' words have a row of the space each, all other words share OTHERS rows by hash. Windows
-of every document are projected into the same latent space; those whose cosine with a passage reaches a threshold are
-candidates. A candidate is a leak if the longest common subsequence of the item and the text around the window covers
-enough of the item; below a near-verbatim share, the item's answer must be covered as well.
-
-A window is projected only if the items' words carry a least share of its weight, so most windows cost two sums. Items
-are handled in blocks of a fixed size, so what is broadcast is bounded whatever the benchmark's size; the corpus is
-counted once for all blocks and searched once for each.
+in a sketch of fixed size that never counts too few. Windows of every document are looked at whose weight is carried, to a
+least share, by the items' words. The items' passages and the text of all these windows, of all documents, are factorised
+by a randomised SVD whose products A'(A X) are summed over partitions; its rank is well below the number of passages, so
+that words that stand in the same passages stand for each other. The items' words have a row of the space each, all other
+words share OTHERS rows by hash. The windows are projected into this latent space; those whose cosine with a passage
+reaches a threshold are candidates. A candidate is a leak if the longest common subsequence of the item and the text
+around the window covers enough of the item; below a near-verbatim share, the item's answer must be covered as well.
+
+The windows and the text around them are kept as codes, so a block of items reads the corpus once, and what is fitted is
+what is searched. Items are handled in blocks of a fixed size, so what is broadcast is bounded whatever the benchmark's
+size; the corpus is counted once for all blocks.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +157,12 @@ class Codes(dict):
         self[word] = k = self.base + counter(word) if k < 0 else k
         return k
 
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of the words of all texts, where each text's begin and the last one's end)"""
+        held = [words(t) for t in texts]
+        begin = np.cumsum([0, *map(len, held)])
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(held)), np.int64, begin[-1]), begin
+
 
 def slots(at: np.ndarray, own: int) -> np.ndarray:
     """Rows of the latent space of codes: the items' words have their own, others one by their counter."""
@@ -204,36 +211,96 @@ def frequencies(src: DataFrame) -> tuple[np.ndarray, int]:
     return out, docs
 
 
+def groups(b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[list[tuple]]:
+    """Rows of a batch whose last column is a text, about so many characters at a time."""
+    held, size = [], 0
+    for at in range(0, b.num_rows, 500):
+        for row in zip(*(c.slice(at, 500).to_pylist() for c in b.columns), strict=True):
+            held.append(row)
+            size += len(row[-1] or "")
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def grid(begin: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, end, text) of the windows of texts whose words begin at begin[:-1]: each quarter of a width, and a text's last."""
+    n, step = np.diff(begin), size // 4
+    many = np.where(n > 0, -(-np.maximum(1, n - size + 1) // step) + 1, 0)
+    text = np.repeat(np.arange(len(n)), many)
+    upto = np.cumsum(many)
+    first = (np.arange(len(text)) - (upto - many)[text]) * step
+    first[upto[many > 0] - 1] = np.maximum(0, n - size)[many > 0]
+    return begin[text] + first, begin[text] + np.minimum(first + size, n[text]), text
+
+
+def covered(first: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+    """Which of size places lie in some window."""
+    held = np.zeros(size + 1, np.int64)
+    np.add.at(held, first, 1)
+    np.add.at(held, end, -1)
+    return np.cumsum(held[:-1]) > 0
+
+
+REGION = pa.schema([("id", pa.int64()), ("codes", pa.binary()), ("windows", pa.binary())])
+
+
+def regions(spark, src: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray, near: dict[int, int]) -> DataFrame:
+    """(id, codes, windows): for each document with a window, of a width of near, in which the items' words carry the least
+    share of the weight, the codes of these windows and of near[width] words on either side, and the windows as (width,
+    first, end) in these."""
+    known, able = spark.sparkContext.broadcast((vocabulary, idf)), ABLE
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, idf = known.value
+        codes, own = Codes(vocabulary), len(vocabulary)
+        weight = np.concatenate(([idf[counter(x)] for x in vocabulary], idf)).astype(np.float32) ** 2
+        for b in batches:
+            for rows in groups(b):
+                at, begin = codes.of([r[1] for r in rows])
+                x = weight[at]
+                inside, total = (np.concatenate(([0.0], np.cumsum(y, dtype=np.float64))) for y in (np.where(at < own, x, 0), x))
+                found, around = [], []
+                for size, more in near.items():
+                    first, end, text = grid(begin, size)
+                    ok = inside[end] - inside[first] >= able * (total[end] - total[first])
+                    first, end, text = first[ok], end[ok], text[ok]
+                    found.append((np.full(len(first), size), first, end, text))
+                    around.append((np.maximum(begin[text], first - more), np.minimum(begin[text + 1], end + more)))
+                size, first, end, text = (np.concatenate(c) for c in zip(*found, strict=True))
+                if not len(first):
+                    continue
+                held = covered(*(np.concatenate(c) for c in zip(*around, strict=True)), len(at))
+                place = np.concatenate(([0], np.cumsum(held)))
+                own_text = place[begin]
+                windows = np.stack((size, place[first] - own_text[text], place[end] - own_text[text]), 1).astype(np.int32)
+                order = np.argsort(text, kind="stable")
+                windows, text = windows[order], text[order]
+                met = at[held].astype(np.int32)
+                cuts = [0, *(np.flatnonzero(np.diff(text)) + 1).tolist(), len(text)]
+                which = text[cuts[:-1]].tolist()
+                yield batch(REGION, [[rows[k][0] for k in which], [met[own_text[k] : own_text[k + 1]].tobytes() for k in which], [windows[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:])]])
+
+    return Scratch(spark).keep(src.select("id", "text").mapInArrow(tidy(find), "id long, codes binary, windows binary"))
+
+
 MATCH = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("cosine", pa.float64()), ("share", pa.float64())])
 
 
 def searcher(shared):
-    """(id, text) -> the items that leak into each text, with the cosine and the share of their best window."""
-
-    def one(text: str | None, s: dict, codes: Codes) -> dict[int, tuple[float, float]]:
-        w = words(text)
-        n, found = len(w), {}
-        if not n:
-            return found
-        at = np.fromiter(map(codes.__getitem__, w), np.int64, n)
-        weight = s["weight"][at]
-        inside, total = (np.concatenate(([0.0], np.cumsum(x, dtype=np.float64))) for x in (np.where(at < s["own"], weight, 0), weight))
-        if not inside[-1]:
-            return found
+    """(id, codes, windows) of regions() -> the items that leak into each text, with the cosine and the share of their best window."""
+
+    def one(at: np.ndarray, windows: np.ndarray, s: dict) -> dict[int, tuple[float, float]]:
+        found: dict[int, tuple[float, float]] = {}
         for size, (latent, items) in s["passages"].items():
-            step = size // 4
-            starts = np.append(np.arange(0, max(1, n - size + 1), step), max(0, n - size))
-            ends = np.minimum(starts + size, n)
-            able = inside[ends] - inside[starts] >= s["able"] * (total[ends] - total[starts])
-            starts, ends = starts[able], ends[able]
+            starts, ends = windows[windows[:, 0] == size, 1:].T
             for lo in range(0, len(starts), 2000):  # a few windows at a time, however long the text
                 first, last = starts[lo : lo + 2000], ends[lo : lo + 2000]
-                used = np.zeros(last[-1] - first[0] + 1, np.int64)
-                np.add.at(used, first - first[0], 1)
-                np.add.at(used, last - first[0], -1)
-                held = np.cumsum(used) > 0  # words of some window
+                held = covered(first - first[0], last - first[0], last[-1] - first[0])
                 place = np.concatenate(([0], np.cumsum(held)))
-                met = at[first[0] : last[-1]][held[:-1]]
+                met = at[first[0] : last[-1]][held]
                 sums = np.cumsum(s["basis"][slots(met, s["own"])] * s["scale"][met, None], axis=0)
                 sums = np.concatenate((np.zeros((1, sums.shape[1]), np.float32), sums))
                 v = sums[place[last - first[0]]] - sums[place[first - first[0]]]
@@ -254,14 +321,13 @@ def searcher(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        known = Codes(s["vocabulary"])
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                out: list[tuple] = []
-                for i, text in zip(b.column(0).slice(at, 500).to_pylist(), b.column(1).slice(at, 500).to_pylist(), strict=True):
-                    out += [(i, item, c, share) for item, (c, share) in one(text, s, known).items()]
-                if out:
-                    yield batch(MATCH, list(zip(*out, strict=True)))
+            out: list[tuple] = []
+            for i, at, windows in zip(*b.columns, strict=True):
+                at, windows = np.frombuffer(at.as_buffer(), np.int32), np.frombuffer(windows.as_buffer(), np.int32).reshape(-1, 3)
+                out += [(i.as_py(), item, c, share) for item, (c, share) in one(at.astype(np.int64), windows.astype(np.int64), s).items()]
+            if out:
+                yield batch(MATCH, list(zip(*out, strict=True)))
 
     return run
 
@@ -272,7 +338,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     answer_col: a column with the item's answer; without one, the last quarter of the item is what is asked for. Null
     and empty texts, items without words and rows with a null id match nothing. Rows that repeat an id with its text
     give equal rows; an item id that repeats with other texts counts by the last of them. Other columns are ignored.
-    Empty tables give none. The latent space is fitted on the items and on all documents.
+    Empty tables give none. The latent space is fitted on the items and on all windows searched, of all documents.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
@@ -290,35 +356,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return union(found)
 
 
-def related(spark, src: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray) -> DataFrame:
-    """(i, w): the distinct passages, of all documents, in which the items' words carry the least share of the weight, as
-    vectors of the latent space's rows."""
-    known, width_, able = spark.sparkContext.broadcast((vocabulary, idf)), WIDTHS[1], ABLE
+def related(spark, src: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray, found: DataFrame | None = None) -> DataFrame:
+    """(i, w): the distinct passages of all windows of regions() (found, if these are made already) of all documents, as
+    vectors of the latent space's rows: a word that is searched is in the fit."""
+    found = regions(spark, src, vocabulary, idf, dict.fromkeys(WIDTHS, 0)) if found is None else found
+    known, width_, own = spark.sparkContext.broadcast(np.concatenate(([idf[counter(x)] for x in vocabulary], idf)).astype(np.float32)), WIDTHS[1], len(vocabulary)
     schema = pa.schema([("i", pa.binary()), ("w", pa.binary())])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, idf = known.value
-        codes, own = Codes(vocabulary), len(vocabulary)
-        weight = np.concatenate(([idf[counter(x)] for x in vocabulary], idf)).astype(np.float32)
+        weight = known.value
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                out: set[tuple[bytes, bytes]] = set()
-                for text in b.column(0).slice(lo, 500).to_pylist():
-                    w = words(text)
-                    if not w:
-                        continue
-                    at = np.fromiter(map(codes.__getitem__, w), np.int64, len(w))
-                    x = weight[at] ** 2
-                    starts = np.arange(0, len(w), width_)
-                    mine, total = np.add.reduceat(np.where(at < own, x, 0), starts), np.add.reduceat(x, starts)
-                    for k in starts[mine >= able * total].tolist():
-                        part = at[k : k + width_]
+            out: set[tuple[bytes, bytes]] = set()
+            for at, windows in zip(*b.columns, strict=True):
+                at, windows = np.frombuffer(at.as_buffer(), np.int32).astype(np.int64), np.frombuffer(windows.as_buffer(), np.int32).reshape(-1, 3)
+                edges = np.flatnonzero(np.diff(covered(windows[:, 1], windows[:, 2], len(at)), prepend=False, append=False)).tolist()
+                for first, end in zip(edges[::2], edges[1::2]):
+                    for lo in range(first, end, width_):
+                        part = at[lo : min(end, lo + width_)]
                         i, place = np.unique(slots(part, own), return_inverse=True)
                         out.add((i.astype(np.int32).tobytes(), np.bincount(place, weight[part]).astype(np.float32).tobytes()))
-                if out:
-                    yield batch(schema, list(zip(*out, strict=True)))
+            if out:
+                yield batch(schema, list(zip(*out, strict=True)))
 
-    return Scratch(spark).keep(src.select("text").mapInArrow(tidy(pick), "i binary, w binary").distinct())
+    return Scratch(spark).keep(found.select("codes", "windows").mapInArrow(tidy(pick), "i binary, w binary").distinct())
 
 
 def search(spark, src: DataFrame, block: list, idf: np.ndarray) -> DataFrame:
@@ -333,7 +393,10 @@ def search(spark, src: DataFrame, block: list, idf: np.ndarray) -> DataFrame:
     if not held:
         return src.sparkSession.createDataFrame([], "id long, item long, cosine double, share double")
     own = len(vocabulary)
-    others = related(spark, src, vocabulary, idf)
+    sizes = [len(w) for _, w, _ in held]
+    near = {wide: max(n for n in sizes if width(n) == wide) for wide in WIDTHS if any(width(n) == wide for n in sizes)}
+    found = regions(spark, src, vocabulary, idf, near)
+    others = related(spark, src, vocabulary, idf, found)
     weight = np.array([idf[counter(x)] for x in vocabulary])
 
     cut, vectors = [], []
@@ -352,8 +415,8 @@ def search(spark, src: DataFrame, block: list, idf: np.ndarray) -> DataFrame:
             by_width[wide] = (latent / (np.linalg.norm(latent, axis=1, keepdims=True) + 1e-12), [cut[k][1] for k in mine])
     marks = {item: (positions(w), len(w), positions(a), len(a)) for item, w, a in held}
     scale = np.concatenate((weight, idf)).astype(np.float32)
-    shared = spark.sparkContext.broadcast({"vocabulary": vocabulary, "own": own, "weight": scale**2, "scale": scale, "basis": basis, "passages": by_width, "items": marks, "cosine": COSINE, "able": ABLE})
-    return src.mapInArrow(tidy(searcher(shared)), "id long, item long, cosine double, share double")
+    shared = spark.sparkContext.broadcast({"own": own, "scale": scale, "basis": basis, "passages": by_width, "items": marks, "cosine": COSINE})
+    return found.mapInArrow(tidy(searcher(shared)), "id long, item long, cosine double, share double")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:

@@ -164,3 +164,17 @@ def test_the_pipeline_fits_the_space_on_all_documents(spark, tmp_path, monkeypat
     monkeypatch.setattr(d, "randomised_basis", counted)
     corpus_pipeline.drop_leaks(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).count()
     assert fitted[0] >= 2490
+
+
+def test_what_is_searched_is_fitted(spark):
+    """Passages in which the items' words carry enough only off a fixed grid of 32 words are in the fit as well."""
+    from spindle.llm import decontamination as d
+
+    rng = random.Random(37)
+    item = [f"item{j}" for j in range(32)]
+    rows = [(k, " ".join([*brute.sentence(rng, 16).split(), *item[:12], *(f"only{k}x{j}" for j in range(8)), *item[12:24], *brute.sentence(rng, 16).split()])) for k in range(300)]
+    src = spark.createDataFrame(rows, DOCS).withColumnRenamed("doc_id", "id")
+    vocabulary = {x.encode(): k for k, x in enumerate(item)}
+    fit = d.related(spark, src, vocabulary, np.ones(d.COUNTERS, np.float32)).collect()
+    met = {i for r in fit for i in np.frombuffer(r["i"], np.int32).tolist()}
+    assert {int(x) for x in d.slots(np.array([32 + d.counter(f"only{k}x{j}".encode()) for k in range(300) for j in range(8)]), 32)} <= met
