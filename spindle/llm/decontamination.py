@@ -16,25 +16,24 @@ size; the corpus is counted once for all blocks.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch, tidy, union
+from .common import Scratch, batch, mix, release, tidy, union
 
 #: Items of a block; latent dimensions; words of passages (an item takes the largest that it fills).
 BLOCK, RANK, WIDTHS = 2000, 192, (16, 32, 64)
 #: Counters of the sketch, dealt in slices; rows of the latent space for words that the items don't have.
 COUNTERS, SLICE, OTHERS = 1 << 20, 1 << 14, 1 << 15
 #: As many of the corpus' passages as weigh together what all of them do, so that the items' own count however large the
-#: corpus is; tasks that go over them.
-WEIGHT, TASKS = 2000, 4
+#: corpus is; tasks that go over them at least, passages of a task.
+WEIGHT, TASKS, MANY = 2000, 4, 1_000_000
 #: Least share of a window's weight that the items' words must carry.
 ABLE = 0.42
 #: Least cosine of a candidate; least share of an item in a leak, share from which the answer is not asked for, and the answer's.
@@ -43,7 +42,7 @@ _TABLE = bytes(32 if b < 33 or chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" el
 
 
 def words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "replace").translate(_TABLE).split()
+    return lowered(text).split()
 
 
 def width(n: int) -> int:
@@ -92,7 +91,7 @@ VECTOR = pa.schema([("i", pa.binary()), ("w", pa.binary()), ("scale", pa.float64
 VECTOR_SQL = "i binary, w binary, scale double"
 
 
-def randomised_basis(spark, vectors: list[tuple[np.ndarray, np.ndarray]], size: int, rank: int, rounds: int = 3, more: DataFrame | None = None, scale: float = 1.0) -> np.ndarray:
+def randomised_basis(spark, vectors: list[tuple[np.ndarray, np.ndarray]], size: int, rank: int, rounds: int = 3, more: DataFrame | None = None, scale: float = 1.0, tasks: int = TASKS) -> np.ndarray:
     """Orthonormal basis (size x rank) of the leading row space of sparse vectors, by subspace iteration from random columns.
 
     The vectors are dealt over partitions; each round every partition gives its share of A'(A X), and the shares are summed.
@@ -103,7 +102,7 @@ def randomised_basis(spark, vectors: list[tuple[np.ndarray, np.ndarray]], size:
     own = pa.table([[v[0].astype(np.int32).tobytes() for v in vectors], [v[1].astype(np.float32).tobytes() for v in vectors], [1.0] * len(vectors)], schema=VECTOR)
     rows = spark.createDataFrame(own).repartition(1 + len(vectors) // 1000)
     if more is not None:
-        rows = rows.unionByName(more.select("i", "w", F.lit(scale).alias("scale")).coalesce(TASKS))
+        rows = rows.unionByName(more.select("i", "w", F.lit(scale).alias("scale")).coalesce(tasks))
     schema = pa.schema([("at", pa.int64()), ("y", pa.binary())])
     step = 4096
     for _ in range(rounds):
@@ -113,9 +112,13 @@ def randomised_basis(spark, vectors: list[tuple[np.ndarray, np.ndarray]], size:
             x = shared.value
             y = np.zeros_like(x)
             for b in batches:
-                for i, w, scale in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    i, w = np.frombuffer(i, np.int32), np.frombuffer(w, np.float32)
-                    y[i] += np.outer(w * np.float32(scale), w @ x[i])
+                for lo in range(0, b.num_rows, 16):  # so few share one small dense product
+                    i, w, scale = (c.slice(lo, 16).to_pylist() for c in b.columns)
+                    lens = [len(v) // 4 for v in i]
+                    met, col = np.unique(np.frombuffer(b"".join(i), np.int32), return_inverse=True)
+                    m = np.zeros((len(lens), len(met)), np.float32)
+                    m[np.repeat(np.arange(len(lens)), lens), col] = np.frombuffer(b"".join(w), np.float32)
+                    y[met] += (m * np.array(scale, np.float32)[:, None]).T @ (m @ x[met])
             for at in range(0, size, step):
                 yield batch(schema, [[at], [y[at : at + step].tobytes()]])
 
@@ -130,9 +133,10 @@ def randomised_basis(spark, vectors: list[tuple[np.ndarray, np.ndarray]], size:
 
         y = np.zeros_like(x)
         # size / step rows, whatever the corpus
-        for at, part in rows.mapInArrow(tidy(share), "at long, y binary").repartition("at").mapInArrow(tidy(add), "at long, y binary").collect():
+        for at, part in rows.mapInArrow(tidy(share), "at long, y binary").repartition("at").mapInArrow(tidy(add), "at long, y binary").toLocalIterator():
             y[at : at + step] = np.frombuffer(part, np.float32).reshape(-1, x.shape[1])
-        shared.unpersist()
+        shared.destroy()  # the driver's copy goes too
+        release()
         x = orthonormal(y)
     return x[:, :rank]
 
@@ -140,28 +144,76 @@ def randomised_basis(spark, vectors: list[tuple[np.ndarray, np.ndarray]], size:
 SLICES = pa.schema([("at", pa.int64()), ("n", pa.binary())])
 
 
+def counters(h: np.ndarray) -> np.ndarray:
+    """The counters of words' hashes."""
+    return (h & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
 def counter(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) % COUNTERS
+    return int(counters(hashed(word)[0])[0])
 
 
-class Codes(dict):
-    """Word -> its number in a vocabulary, or else the vocabulary's size and its counter; remembered for the words met lately."""
+#: Of a word's hash: the values of its bytes, the base that gives their places, bytes hashed at once.
+_rng = np.random.default_rng(88)
+_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+_BASE, PIECE = int(_rng.integers(1, 2**63)) | 1, 1 << 17
+
+
+@lru_cache(2)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers, and their inverses, modulo 2^64."""
+    return tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, first byte) of each word of data, whose words are parted by blanks."""
+    found, places, a = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while a < len(data):
+        e = data.rfind(b" ", a, a + PIECE) + 1 if len(data) - a > PIECE else len(data)
+        if not e:  # a word as long as this
+            e = data.find(b" ", a + PIECE) + 1 or len(data)
+        b = np.frombuffer(b" " + data[a:e] + b" ", np.uint8)
+        edges = np.flatnonzero(np.diff(b != 32))
+        first, last = edges[::2], edges[1::2]
+        up, down = powers(1 << max(PIECE.bit_length(), len(b).bit_length()))
+        sums = np.cumsum(_VALUES[b] * up[: len(b)], dtype=np.uint64)
+        found.append(mix((sums[last] - sums[first]) * down[first]))
+        places.append(first + a)
+        a = e
+    return np.concatenate(found), np.concatenate(places)
+
+
+def lowered(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "replace").translate(_TABLE)
 
-    def __init__(self, vocabulary: dict[bytes, int]):
-        self.vocabulary, self.base = vocabulary, len(vocabulary)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        k = self.vocabulary.get(word, -1)
-        self[word] = k = self.base + counter(word) if k < 0 else k
-        return k
+def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts, where each text's begin and the last one's end)"""
+    data = [lowered(t) for t in texts]
+    h, place = hashed(b" ".join(data))
+    return h, np.searchsorted(place, np.cumsum([0, *(len(x) + 1 for x in data)]))
+
+
+class Codes:
+    """Words -> their numbers in a vocabulary, or else the vocabulary's size and their counter."""
+
+    def __init__(self, vocabulary: dict[bytes, int]):
+        h, _ = hashed(b" ".join(vocabulary))
+        order = np.argsort(h)
+        self.hashes, self.numbers, self.base = h[order], np.array(list(vocabulary.values()), np.int64)[order], len(vocabulary)
+        self.taken = np.zeros(COUNTERS, bool)  # counters on which words of the vocabulary are
+        self.taken[counters(h)] = True
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(codes of the words of all texts, where each text's begin and the last one's end)"""
-        held = [words(t) for t in texts]
-        begin = np.cumsum([0, *map(len, held)])
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(held)), np.int64, begin[-1]), begin
+        h, begin = hashes(texts)
+        at = counters(h)
+        maybe = np.flatnonzero(self.taken[at])
+        at += self.base
+        k = np.minimum(np.searchsorted(self.hashes, h[maybe]), self.base - 1)
+        same = self.hashes[k] == h[maybe]
+        at[maybe[same]] = self.numbers[k[same]]
+        return at, begin
 
 
 def slots(at: np.ndarray, own: int) -> np.ndarray:
@@ -174,20 +226,17 @@ def frequencies(src: DataFrame) -> tuple[np.ndarray, int]:
     size, step = COUNTERS, SLICE
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, docs, met = np.zeros(size, np.int64), 0, Counter()
-
-        def melt() -> None:
-            np.add.at(n, np.fromiter(map(counter, met), np.int64, len(met)), np.fromiter(met.values(), np.int64, len(met)))
-            met.clear()
-
+        n, docs, mark = np.zeros(size, np.int64), 0, np.zeros(size, np.int32)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                for text in b.column(0).slice(at, 500).to_pylist():
-                    docs += 1
-                    met.update(set(words(text)))
-                if len(met) > 300_000:
-                    melt()
-        melt()
+            for rows in groups(b):
+                h, begin = hashes([r[0] for r in rows])
+                at = counters(h)
+                docs += len(rows)
+                for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist()):
+                    # a document counts once on a counter: for the last of its words there
+                    met, order = at[lo:hi], np.arange(hi - lo, dtype=np.int32)
+                    mark[met] = order
+                    n[met[mark[met] == order]] += 1
         if docs:
             yield batch(SLICES, [[*range(0, size, step), size], [*(n[at : at + step].tobytes() for at in range(0, size, step)), np.array([docs]).tobytes()]])
 
@@ -244,6 +293,11 @@ def covered(first: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(held[:-1]) > 0
 
 
+def weights(vocabulary: dict[bytes, int], idf: np.ndarray) -> np.ndarray:
+    """The weight of each code."""
+    return np.concatenate((idf[counters(hashed(b" ".join(vocabulary))[0])], idf)).astype(np.float32)
+
+
 REGION = pa.schema([("id", pa.int64()), ("codes", pa.binary()), ("windows", pa.binary())])
 
 
@@ -256,7 +310,7 @@ def regions(spark, src: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, idf = known.value
         codes, own = Codes(vocabulary), len(vocabulary)
-        weight = np.concatenate(([idf[counter(x)] for x in vocabulary], idf)).astype(np.float32) ** 2
+        weight = weights(vocabulary, idf) ** 2
         for b in batches:
             for rows in groups(b):
                 at, begin = codes.of([r[1] for r in rows])
@@ -360,21 +414,30 @@ def related(spark, src: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray
     """(i, w): the distinct passages of all windows of regions() (found, if these are made already) of all documents, as
     vectors of the latent space's rows: a word that is searched is in the fit."""
     found = regions(spark, src, vocabulary, idf, dict.fromkeys(WIDTHS, 0)) if found is None else found
-    known, width_, own = spark.sparkContext.broadcast(np.concatenate(([idf[counter(x)] for x in vocabulary], idf)).astype(np.float32)), WIDTHS[1], len(vocabulary)
+    known, width_, own = spark.sparkContext.broadcast(weights(vocabulary, idf)), WIDTHS[1], len(vocabulary)
     schema = pa.schema([("i", pa.binary()), ("w", pa.binary())])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = known.value
+        weight, rows = known.value, own + OTHERS
         for b in batches:
             out: set[tuple[bytes, bytes]] = set()
-            for at, windows in zip(*b.columns, strict=True):
-                at, windows = np.frombuffer(at.as_buffer(), np.int32).astype(np.int64), np.frombuffer(windows.as_buffer(), np.int32).reshape(-1, 3)
-                edges = np.flatnonzero(np.diff(covered(windows[:, 1], windows[:, 2], len(at)), prepend=False, append=False)).tolist()
-                for first, end in zip(edges[::2], edges[1::2]):
-                    for lo in range(first, end, width_):
-                        part = at[lo : min(end, lo + width_)]
-                        i, place = np.unique(slots(part, own), return_inverse=True)
-                        out.add((i.astype(np.int32).tobytes(), np.bincount(place, weight[part]).astype(np.float32).tobytes()))
+            for lo in range(0, b.num_rows, 500):
+                codes, windows = (c.slice(lo, 500).to_pylist() for c in b.columns)
+                at = np.frombuffer(b"".join(codes), np.int32).astype(np.int64)
+                begin = np.cumsum([0, *(len(x) // 4 for x in codes)])
+                seen = np.frombuffer(b"".join(windows), np.int32).reshape(-1, 3)[:, 1:] + np.repeat(begin[:-1], [len(x) // 12 for x in windows])[:, None]
+                held = np.flatnonzero(covered(seen[:, 0], seen[:, 1], len(at)))
+                # a passage begins where a run or a text does, and after so many words
+                run = np.diff(held, prepend=-2) > 1
+                run[np.unique(np.searchsorted(held, begin[:-1]))] = True
+                heads = np.flatnonzero(run)
+                inside = np.arange(len(held)) - heads[np.cumsum(run) - 1]
+                passage = np.cumsum(inside % width_ == 0) - 1
+                key, place = np.unique(passage * rows + slots(at[held], own), return_inverse=True)
+                i, w = (key % rows).astype(np.int32), np.bincount(place, weight[at[held]]).astype(np.float32)
+                cuts = np.searchsorted(key // rows, np.arange(passage[-1] + 2)) * 4
+                i, w = i.tobytes(), w.tobytes()
+                out.update((i[x:y], w[x:y]) for x, y in pairwise(cuts.tolist()))
             if out:
                 yield batch(schema, list(zip(*out, strict=True)))
 
@@ -397,7 +460,7 @@ def search(spark, src: DataFrame, block: list, idf: np.ndarray) -> DataFrame:
     near = {wide: max(n for n in sizes if width(n) == wide) for wide in WIDTHS if any(width(n) == wide for n in sizes)}
     found = regions(spark, src, vocabulary, idf, near)
     others = related(spark, src, vocabulary, idf, found)
-    weight = np.array([idf[counter(x)] for x in vocabulary])
+    weight = weights(vocabulary, idf)
 
     cut, vectors = [], []
     for item, w, _ in held:
@@ -406,7 +469,8 @@ def search(spark, src: DataFrame, block: list, idf: np.ndarray) -> DataFrame:
             vectors.append((at, tf * weight[at]))
             cut.append((width(len(w)), item))
     n = others.count()
-    basis = randomised_basis(spark, vectors, own + OTHERS, min(RANK, len(vectors) + n), more=others, scale=min(1.0, WEIGHT / max(1, n)))
+    Scratch(spark).sweep()
+    basis = randomised_basis(spark, vectors, own + OTHERS, min(RANK, len(vectors) + n), more=others, scale=min(1.0, WEIGHT / max(1, n)), tasks=max(TASKS, n // MANY))
     by_width: dict[int, tuple] = {}
     for wide in WIDTHS:
         mine = [k for k, (x, _) in enumerate(cut) if x == wide]
@@ -414,8 +478,7 @@ def search(spark, src: DataFrame, block: list, idf: np.ndarray) -> DataFrame:
             latent = np.array([vectors[k][1].astype(np.float32) @ basis[vectors[k][0]] for k in mine])
             by_width[wide] = (latent / (np.linalg.norm(latent, axis=1, keepdims=True) + 1e-12), [cut[k][1] for k in mine])
     marks = {item: (positions(w), len(w), positions(a), len(a)) for item, w, a in held}
-    scale = np.concatenate((weight, idf)).astype(np.float32)
-    shared = spark.sparkContext.broadcast({"own": own, "scale": scale, "basis": basis, "passages": by_width, "items": marks, "cosine": COSINE})
+    shared = spark.sparkContext.broadcast({"own": own, "scale": weight, "basis": basis, "passages": by_width, "items": marks, "cosine": COSINE})
     return found.mapInArrow(tidy(searcher(shared)), "id long, item long, cosine double, share double")
 
 

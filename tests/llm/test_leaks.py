@@ -178,3 +178,28 @@ def test_what_is_searched_is_fitted(spark):
     fit = d.related(spark, src, vocabulary, np.ones(d.COUNTERS, np.float32)).collect()
     met = {i for r in fit for i in np.frombuffer(r["i"], np.int32).tolist()}
     assert {int(x) for x in d.slots(np.array([32 + d.counter(f"only{k}x{j}".encode()) for k in range(300) for j in range(8)]), 32)} <= met
+
+
+def test_words_are_hashed_together():
+    """Hashes of all words at once are those of each alone, whatever the pieces; codes and counts follow them."""
+    from spindle.llm import decontamination as d
+
+    rng = random.Random(38)
+    texts = ["", "  One, two;ONE\ttwo\n", "ÀÉ ß Σ ΟΔΟΣ", "x" * 300_000 + " y", None, brute.sentence(rng, 60_000), "(z)"]
+    h, begin = d.hashes(texts)
+    w = [d.words(t) for t in texts]
+    assert np.diff(begin).tolist() == [len(x) for x in w]
+    alone = {x: int(d.hashed(x)[0][0]) for x in set(itertools.chain.from_iterable(w))}
+    assert h.tolist() == [alone[x] for x in itertools.chain.from_iterable(w)] and len(set(alone.values())) == len(alone)
+    vocabulary = {x: k for k, x in enumerate(w[5][:50:7] + [b"x" * 300_000])}
+    at, _ = d.Codes(vocabulary).of(texts)
+    assert at.tolist() == [vocabulary.get(x, len(vocabulary) + d.counter(x)) for x in itertools.chain.from_iterable(w)]
+
+
+def test_counts_of_documents_are_never_too_few(spark):
+    from spindle.llm import decontamination as d
+
+    rows = [(k, f"a b a c{k % 7} d{k}" + " a" * (k % 3)) for k in range(500)] + [(500, "")]
+    counts, n = d.frequencies(spark.createDataFrame(rows, DOCS))
+    assert n == 501 and counts[d.counter(b"a")] == counts[d.counter(b"b")] == 500
+    assert all(counts[d.counter(b"d%d" % k)] >= 1 for k in range(500)) and counts.sum() <= 500 * 4
