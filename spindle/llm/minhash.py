@@ -134,8 +134,8 @@ def neighbours(width: int, least: int):
 
 def candidates(scratch: Scratch, rows: DataFrame, width: int, least: int) -> DataFrame:
     """Distinct pairs (a, b) of neighbours in the sorted orders, also across the ends of partitions."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "k", "id").sortWithinPartitions("k", "id")
+    # Without a number of parts, Spark joins short neighbouring ones: each part is a file, and for each file a JVM starts a process.
+    ordered = rows.repartitionByRange("k", "id").sortWithinPartitions("k", "id")
     found = scratch.keep(ordered.mapInArrow(tidy(neighbours(width, least)), PAIR_SQL))
     # At most 2 * width rows of each partition, whatever the table: one task has all ends, so short partitions lose nothing.
     ends = found.where("edge >= 0").select("k", F.col("a").alias("id"), "comp").distinct()

@@ -99,3 +99,28 @@ def test_bounds_of_the_exact_pass(spark):
             assert len(want) > 300 and want <= found
     finally:
         minhash.BLOCK = block
+
+
+def test_short_orders_go_to_few_files(spark):
+    """The sorted orders are cut by their size: few files for few rows, and no pair is lost however they are cut."""
+    import os
+
+    from spindle.llm import minhash as m
+    from spindle.llm.common import Scratch
+
+    rng = random.Random(41)
+    rows = [(bytes([0]) + bytes([0, 0, 0, rng.randrange(40)]) * 4 + bytes(rng.randrange(256) for _ in range(16)), k, k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k binary, id long, comp long")
+    ordered = sorted(rows)
+    want = {tuple(sorted((x[1], y[1]))) for o in (1, 2, 3) for x, y in zip(ordered, ordered[o:]) if x[0][:17] == y[0][:17]}
+    key, files = "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(key)
+    try:
+        for parts in (1, 64):
+            spark.conf.set(key, parts)
+            scratch = Scratch(spark)
+            assert want <= {tuple(r) for r in m.candidates(scratch, df, 3, 4).collect()}
+            files.append(sum(f.startswith("part-") for f in os.listdir(f"{scratch.root.removeprefix('file:')}/1")))
+    finally:
+        spark.conf.set(key, before)
+    assert files[1] < 64
