@@ -50,6 +50,14 @@ def tidy(f: Callable) -> Callable:
     return run
 
 
+#: For a scratch folder on a local disk: for each file that it makes, and again for the checksums beside it, Hadoop's file
+#: system starts a `chmod` (four for a table's file, one without checksums), whose process shares the JVM's memory until it
+#: has begun and is counted with it. Other stores ignore the first two.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+#: Least files of a table whose rows are counted, if it is dealt to as many tasks; and rows of a file beyond these.
+FILES, FILE_ROWS = 12, 50_000
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage, survive lost executors, and may be dropped when no longer read."""
 
@@ -57,11 +65,14 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/spindle-{uuid.uuid4().hex}"
         self.count = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write df as Parquet and read it again; the shuffle files behind it can then go."""
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Write df as Parquet and read it again; the shuffle files behind it can then go. rows: about how many df has,
+        where tasks may be joined, so that few rows go to few files."""
         self.count += 1
+        if rows is not None:
+            df = df.coalesce(max(FILES, -(-rows // FILE_ROWS)))
         path, schema = f"{self.root}/{self.count}", df.schema
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **PLAIN).parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._spindle_path = path
         return out
@@ -188,26 +199,26 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     of every component. All steps are joins and partial aggregations; none gathers a component in one task.
     """
     e = scratch.keep(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(tidy(contract), "a long, b long"))
-    labels = None
+    labels, most = None, 2 * e.count()  # nodes, and no table below has more rows
     while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        p = scratch.keep(both.groupBy("u").agg(F.min("v").alias("r")).select("u", F.least("u", "r").alias("r")))
+        p = scratch.keep(both.groupBy("u").agg(F.min("v").alias("r")).select("u", F.least("u", "r").alias("r")), most)
         while True:
             q = p.select(F.col("u").alias("r"), F.col("r").alias("r2"))
-            jumped = scratch.keep(p.join(q, "r").select("u", F.col("r2").alias("r"), (F.col("r2") != F.col("r")).alias("moved")))
+            jumped = scratch.keep(p.join(q, "r").select("u", F.col("r2").alias("r"), (F.col("r2") != F.col("r")).alias("moved")), most)
             scratch.drop(p)
             p, moved = jumped.drop("moved"), jumped.where("moved").limit(1).count()
             p._spindle_path = jumped._spindle_path
             if not moved:
                 break
         if labels is None:
-            labels = scratch.keep(p.select(F.col("u").alias("node"), F.col("r").alias("comp")))
+            labels = scratch.keep(p.select(F.col("u").alias("node"), F.col("r").alias("comp")), most)
         else:
             old = labels
-            labels = scratch.keep(old.join(p, old.comp == p.u, "left").select("node", F.coalesce("r", "comp").alias("comp")))
+            labels = scratch.keep(old.join(p, old.comp == p.u, "left").select("node", F.coalesce("r", "comp").alias("comp")), most)
             scratch.drop(old)
         pa_, pb = p.select(F.col("u").alias("a"), F.col("r").alias("ra")), p.select(F.col("u").alias("b"), F.col("r").alias("rb"))
-        rest = scratch.keep(e.join(pa_, "a").join(pb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        rest = scratch.keep(e.join(pa_, "a").join(pb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), most)
         scratch.drop(e, p)
         e = rest
         if not e.limit(1).count():

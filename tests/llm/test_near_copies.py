@@ -124,3 +124,51 @@ def test_short_orders_go_to_few_files(spark):
     finally:
         spark.conf.set(key, before)
     assert files[1] < 64
+
+
+def test_scratch_tables_start_few_processes(spark, monkeypatch):
+    """Of a scratch table only its files are made, nothing beside them, and few rows in many tasks go to few files."""
+    import os
+
+    from spindle.llm.common import FILES, Scratch, components
+
+    scratch = Scratch(spark)
+    folder = scratch.root.removeprefix("file:")
+    rows = spark.range(0, 3000, 1, 7).selectExpr("id", "repeat('x', cast(id % 9 as int)) x")
+    assert sorted(map(tuple, scratch.keep(rows).collect())) == [(k, "x" * (k % 9)) for k in range(3000)]
+    assert len(os.listdir(f"{folder}/1")) == 7 and all(f.startswith("part-") for f in os.listdir(f"{folder}/1"))
+
+    files = {}
+    keep = Scratch.keep
+
+    def seen(self, df, *a):
+        out = keep(self, df, *a)
+        files[self.count] = len(os.listdir(out._spindle_path.removeprefix("file:")))
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", seen)
+    key, joined = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key), spark.conf.get(joined)
+    rng = random.Random(43)
+    edges = [(5 * rng.randrange(400) + k % 5, 5 * rng.randrange(400) + k % 5) for k in range(1500)]
+    try:
+        spark.conf.set(key, 32)
+        spark.conf.set(joined, "false")
+        found = dict(map(tuple, components(scratch, spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()))
+    finally:
+        spark.conf.set(key, before[0])
+        spark.conf.set(joined, before[1])
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for x in sorted(near):
+        todo = [x]
+        while todo:
+            y = todo.pop()
+            if y not in want:
+                want[y] = x
+                todo += near[y]
+    assert found == want and len(files) > 4 and max(files.values()) <= FILES
