@@ -104,9 +104,10 @@ def randomised_basis(spark, vectors: list[tuple[np.ndarray, np.ndarray]], size:
     if more is not None:
         rows = rows.unionByName(more.select("i", "w", F.lit(scale).alias("scale")).coalesce(tasks))
     schema = pa.schema([("at", pa.int64()), ("y", pa.binary())])
-    step = 4096
+    step, wide = 4096, x.shape[1]
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(x)
+        x = None  # the driver holds one of x and y
 
         def share(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             x = shared.value
@@ -131,13 +132,13 @@ def randomised_basis(spark, vectors: list[tuple[np.ndarray, np.ndarray]], size:
             for at, y in held.items():
                 yield batch(schema, [[at], [y.tobytes()]])
 
-        y = np.zeros_like(x)
+        y = np.zeros((size, wide), np.float32)
         # size / step rows, whatever the corpus
         for at, part in rows.mapInArrow(tidy(share), "at long, y binary").repartition("at").mapInArrow(tidy(add), "at long, y binary").toLocalIterator():
-            y[at : at + step] = np.frombuffer(part, np.float32).reshape(-1, x.shape[1])
+            y[at : at + step] = np.frombuffer(part, np.float32).reshape(-1, wide)
         shared.destroy()  # the driver's copy goes too
         release()
-        x = orthonormal(y)
+        x, y = orthonormal(y), None
     return x[:, :rank]
 
 
@@ -479,6 +480,8 @@ def search(spark, src: DataFrame, block: list, idf: np.ndarray) -> DataFrame:
             by_width[wide] = (latent / (np.linalg.norm(latent, axis=1, keepdims=True) + 1e-12), [cut[k][1] for k in mine])
     marks = {item: (positions(w), len(w), positions(a), len(a)) for item, w, a in held}
     shared = spark.sparkContext.broadcast({"own": own, "scale": weight, "basis": basis, "passages": by_width, "items": marks, "cosine": COSINE})
+    del basis, vectors, others
+    release()
     return found.mapInArrow(tidy(searcher(shared)), "id long, item long, cosine double, share double")
 
 

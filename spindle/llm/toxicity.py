@@ -11,6 +11,7 @@ not seen.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts, tidy
+from .common import batch, texts, tidy, union
 
 WINDOW = 10
 #: Bytes of the ordinary dictionary and of the toxic one.
@@ -142,6 +143,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes], prior: float, most: int = 60_
     return model
 
 
+MODEL = pa.schema([("model", pa.binary())])
 SCORED = pa.schema([("id", pa.int64()), ("score", pa.float64())])
 
 
@@ -160,22 +162,39 @@ def scorer(model: Model | None, prior: float):
     return run
 
 
+def fitter(prior: float):
+    """(toxic, text) of all samples, in one task -> the pickled model, or None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples: dict[int, list[bytes]] = {1: [], 0: []}
+        for b in batches:
+            for toxic, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
+                samples[toxic].append(text)
+        yield batch(MODEL, [[pickle.dumps(fit(samples[1], samples[0], prior))]])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model | None, float]:
     """Fit on a bounded sample: `sample` documents of each label, by a hash of their ids, `most` characters of each.
 
-    labels has id_col and toxic; nulls there are ignored. The driver holds at most 2 * sample * most characters.
+    labels has id_col and toxic; nulls there are ignored. One task holds at most 2 * sample * most characters and fits;
+    the driver gets the model alone.
     """
     marks = labels.where(f"{id_col} is not null and toxic is not null").groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.col(text_col).cast("string"), 1, most).alias("text")).where("text is not null")
     counts = {r["toxic"]: r["count"] for r in marks.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
+    total = sum(counts.values())
+    prior = counts.get(1, 0) / total if total else 0.0
     found = []
     for want in (1, 0):
         picked = marks.where((F.col("toxic") > 0).cast("int") == want).orderBy(F.xxhash64("id"), "id").limit(sample).select("id")
         # `sample` ids at most, whatever the corpus
-        found.append([r[0].encode() for r in src.join(F.broadcast(picked), "id", "left_semi").orderBy(F.xxhash64("id"), "text").limit(sample).select("text").collect()])
-    total = sum(counts.values())
-    prior = counts.get(1, 0) / total if total else 0.0
-    return fit(*found, prior), prior
+        mine = src.join(F.broadcast(picked), "id", "left_semi").select(F.lit(want).alias("toxic"), F.xxhash64("id").alias("h"), "text")
+        found.append(mine.orderBy("h", "text").limit(sample))
+    both = union(found).coalesce(1).sortWithinPartitions(F.desc("toxic"), "h", "text").select("toxic", "text")
+    fitted = both.mapInArrow(tidy(fitter(prior)), "model binary").first()
+    return (pickle.loads(fitted[0]) if fitted else None), prior
 
 
 def score(docs: DataFrame, trained: tuple[Model | None, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -161,6 +161,31 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and kept.count() == sum(1 - got[i]["predicted"] for i, _ in rows)
 
 
+def test_toxicity_is_fitted_by_a_task(spark, monkeypatch):
+    """The driver, whose memory every stage of a session shares, neither holds the sample nor fits."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from spindle.llm import toxicity
+
+    rows, labels = toxic_corpus(60)
+    driver, real = os.getpid(), toxicity.fit
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return real(*args)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model, prior = toxicity.train(docs, marks)
+    held = dict(rows)
+    order = {i: h for i, h in docs.select("doc_id", F.xxhash64("doc_id")).collect()}
+    found = [[held[i].encode() for i, _, t in sorted(labels, key=lambda x: order[x[0]]) if t == want] for want in (1, 0)]
+    assert model == real(*found, prior) and 0 < prior < 1
+    assert toxicity.train(docs.where("false"), marks)[0] is None
+
+
 def test_pipeline_stages(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows, labels = toxic_corpus(160)
