@@ -37,8 +37,8 @@ def cutter(path: str, size: int):
         ids = ids_of(path)
         for b in batches:
             cols: list[list] = [[], [], [], [], [], []]
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = ids.encode(t or "") + END
+            for i, x in zip(b.column(0).to_pylist(), ids.encode_all(b.column(1)), strict=True):
+                x += END
                 salt = zlib.crc32(x)
                 for at in range(0, len(x), 4 * size):
                     part = x[at : at + 4 * size]

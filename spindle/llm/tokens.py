@@ -35,6 +35,8 @@ ODD = re.compile(f"[^\\t\\n\\r -~{LETTERS}]")
 #: The pieces of byte_bpe_50k.json and of word_bpe_49k.json, over the plain set.
 BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
+#: The pieces of words, one word a line; where a text's pieces are the library's business.
+LINES, UNSURE = re.compile(WORD_PIECES.pattern + r"|\n"), ODD.pattern + r"|<\|"
 #: Chunks that a task remembers; words that a worker does; pieces that are broadcast.
 MOST, WORDS, HEAD = 100_000, 300_000, 1 << 18
 
@@ -228,42 +230,88 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-class Ids(dict):
-    """White-space-delimited word -> its ids as little-endian unsigned 32-bit numbers, for lower-cased plain texts."""
+#: The bytes of letters beyond ASCII, as the model names them: byte_level's characters for bytes that do not print.
+_NAMES = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)], map(chr, range(256, 512))))
+BYTE_NAMES = {c: "".join(_NAMES.get(b, chr(b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+class Ids:
+    """Texts -> their ids as little-endian unsigned 32-bit numbers.
+
+    The distinct words of some texts, lower-cased, are looked up once, cut into pieces together, and numpy lays their ids
+    in the texts' order. Words and pieces that were met lately are remembered: each memory has a young and an old half.
+    """
 
     def __init__(self, path: str):
-        self.tok, self.pieces = load(path), {}
+        self.tok = load(path)
         self.model = self.tok.model
+        self.bytes_of = [k.to_bytes(4, "little") for k in range(self.tok.get_vocab_size())]
+        self.words, self.old_words, self.pieces, self.old_pieces = {}, {}, {}, {}
 
     def whole(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tok.encode(text, add_special_tokens=False).ids)
+        return b"".join([self.bytes_of[i] for i in self.tok.encode(text, add_special_tokens=False).ids])
 
     def piece(self, p: str) -> bytes:
-        # the model names bytes by characters; those of ASCII are themselves
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(p)]) if p.isascii() else self.whole(p)
-
-    def common(self, p: str) -> bytes:
-        """A piece of a word of several: mostly punctuation, or a word without it."""
-        found = self.get(p)
-        if found is None:
-            found = self.pieces.get(p)
-        if found is None:
-            if len(self.pieces) > WORDS // 3:
-                self.pieces.clear()
-            found = self.pieces[p] = self.piece(p)
-        return found
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > WORDS:
-            self.clear()
-        ps = WORD_PIECES.findall(word)
-        self[word] = out = self.piece(word) if ps == [word] else b"".join(map(self.common, ps))
+        out = self.old_pieces.get(p)
+        if out is None:
+            # the model names bytes by characters; those of ASCII are themselves
+            out = b"".join([self.bytes_of[t.id] for t in self.model.tokenize(p if p.isascii() else p.translate(BYTE_NAMES))])
+        self.pieces[p] = out
         return out
 
+    def learn(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of words, none of which is in the young half."""
+        if len(self.words) > WORDS // 2:
+            self.words, self.old_words = {}, self.words
+        if len(self.pieces) > WORDS // 2:
+            self.pieces, self.old_pieces = {}, self.pieces
+        new = [w for w in words if w not in self.old_words]
+        known, made, own = self.pieces, [], []
+        for p in LINES.findall("\n".join([*new, ""])):
+            if p == "\n":
+                made.append(own[0] if len(own) == 1 else b"".join(own))
+                own = []
+            else:
+                found = known.get(p)
+                own.append(self.piece(p) if found is None else found)
+        self.words.update(zip(new, made, strict=True))
+        if len(new) < len(words):
+            self.words.update((w, self.old_words[w]) for w in words if w in self.old_words)
+        return map(self.words.__getitem__, words)
+
+    def encode_all(self, texts: pa.Array, most: int = 1 << 22) -> Iterator[bytes]:
+        """The ids of each text, null as empty; about so many bytes of texts at a time."""
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64))
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, "right")))
+            yield from self.some(texts.slice(lo, hi - lo))
+            lo = hi
+
+    def some(self, texts: pa.Array) -> Iterator[bytes]:
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, UNSURE)
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(odd, pa.scalar("", pa.large_string()), texts)))
+        coded = split.values.dictionary_encode()
+        # no word holds a line's end; one join is faster than a value at a time
+        lines = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+        words = pc.binary_join(lines, pa.scalar("\n", pa.large_string()))[0].as_py().split("\n") if len(coded.dictionary) else []
+        ids = list(map(self.words.get, words))
+        gaps = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(gaps, self.learn([words[k] for k in gaps]), strict=True):
+            ids[k] = x
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        code = np.asarray(coded.indices)
+        n = size[code]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        laid = flat[np.repeat(first[code] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+        begin = (4 * upto[np.asarray(split.offsets)]).tolist()
+        for k, whole in enumerate(np.asarray(odd)):
+            yield self.whole(texts[k].as_py()) if whole else laid[begin[k] : begin[k + 1]]
+
     def encode(self, text: str) -> bytes:
-        if ODD.search(text) or "<|" in text:
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        return next(self.encode_all(pa.array([text], pa.string())))
 
 
 _ids: dict[str, Ids] = {}

@@ -179,6 +179,24 @@ def test_fast_paths_are_the_library():
     assert [ids.encode(t) for t in odd] == [ids.whole(t) for t in odd]
 
 
+def test_ids_of_many_texts(monkeypatch):
+    """As the library's, where memories turn over and blocks end anywhere; accented words of plain texts take no call of it."""
+    import pyarrow as pa
+
+    from spindle.llm import tokens as operator
+
+    monkeypatch.setattr(operator, "WORDS", 40)
+    rng = random.Random(15)
+    texts = [None, "", " ", " a ", *(" ".join("".join(rng.choice("abeéÀñß'1.-s") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(30))) for _ in range(300))]
+    ids = operator.Ids(tokens.path("word_bpe_49k.json"))
+    want = [ids.whole(t or "") for t in texts]
+    monkeypatch.setattr(operator.Ids, "whole", None)
+    for most in (1, 300, 1 << 22):
+        assert list(ids.encode_all(pa.array(texts), most)) == want
+        assert list(ids.encode_all(pa.array(texts).slice(7, 90), most)) == want[7:97]
+    assert list(ids.encode_all(pa.array([], pa.string()))) == []
+
+
 def test_packing(docs, rows):
     import numpy as np
 
