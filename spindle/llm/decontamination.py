@@ -31,6 +31,8 @@ from .common import Scratch, batch, mix, release, tidy, union
 BLOCK, RANK, WIDTHS = 2000, 192, (16, 32, 64)
 #: Counters of the sketch, dealt in slices; rows of the latent space for words that the items don't have.
 COUNTERS, SLICE, OTHERS = 1 << 20, 1 << 14, 1 << 15
+#: Rows of the latent space that the driver fetches at once.
+PART = 1 << 13
 #: As many of the corpus' passages as weigh together what all of them do, so that the items' own count however large the
 #: corpus is; tasks that go over them at least, passages of a task.
 WEIGHT, TASKS, MANY = 2000, 4, 1_000_000
@@ -87,6 +89,15 @@ def orthonormal(y: np.ndarray, step: int = 4096) -> np.ndarray:
     return y
 
 
+def leading(x: np.ndarray, rank: int, step: int = 4096) -> np.ndarray:
+    """The first columns of x, moved together in x's own memory: what is sent from there needs no copy."""
+    flat = x.reshape(-1)
+    for at in range(0, len(x), step):
+        part = x[at : at + step, :rank].copy()
+        flat[at * rank : at * rank + part.size] = part.reshape(-1)
+    return flat[: len(x) * rank].reshape(len(x), rank)
+
+
 VECTOR = pa.schema([("i", pa.binary()), ("w", pa.binary()), ("scale", pa.float64())])
 VECTOR_SQL = "i binary, w binary, scale double"
 
@@ -104,10 +115,12 @@ def randomised_basis(spark, vectors: list[tuple[np.ndarray, np.ndarray]], size:
     if more is not None:
         rows = rows.unionByName(more.select("i", "w", F.lit(scale).alias("scale")).coalesce(tasks))
     schema = pa.schema([("at", pa.int64()), ("y", pa.binary())])
-    step, wide = 4096, x.shape[1]
+    step, wide = 512, x.shape[1]
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(x)
         x = None  # the driver holds one of x and y
+        release()
+        spark.sparkContext._jvm.System.gc()  # and its JVM little of the round before
 
         def share(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             x = shared.value
@@ -133,13 +146,13 @@ def randomised_basis(spark, vectors: list[tuple[np.ndarray, np.ndarray]], size:
                 yield batch(schema, [[at], [y.tobytes()]])
 
         y = np.zeros((size, wide), np.float32)
-        # size / step rows, whatever the corpus
-        for at, part in rows.mapInArrow(tidy(share), "at long, y binary").repartition("at").mapInArrow(tidy(add), "at long, y binary").toLocalIterator():
+        # size / step rows, whatever the corpus; each part is a job of the driver and comes to it at once, so parts are few and small
+        for at, part in rows.mapInArrow(tidy(share), "at long, y binary").repartition("at").coalesce(-(-size // PART)).mapInArrow(tidy(add), "at long, y binary").toLocalIterator():
             y[at : at + step] = np.frombuffer(part, np.float32).reshape(-1, wide)
         shared.destroy()  # the driver's copy goes too
         release()
         x, y = orthonormal(y), None
-    return x[:, :rank]
+    return leading(x, rank)
 
 
 SLICES = pa.schema([("at", pa.int64()), ("n", pa.binary())])
@@ -400,8 +413,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"), (F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")).alias("answer")).where("item is not null")
     counts, docs_n = frequencies(src)
     idf = (np.log((docs_n + 1) / (np.minimum(counts, docs_n) + 1)) + 1).astype(np.float32)
+    del counts
     found, block = [], []
-    for r in items.orderBy("item", "text").toLocalIterator():
+    # one sorted file, of which the driver reads a row group or so at a time: a job each, not one for each part of a shuffle
+    for r in Scratch(spark).keep(items.coalesce(1).sortWithinPartitions("item", "text")).toLocalIterator():
         block.append(r)
         if len(block) == BLOCK:
             found.append(search(spark, src, block, idf))

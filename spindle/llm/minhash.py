@@ -35,6 +35,8 @@ LOOSE, LEAST_LOOSE = 85, 3
 FIRST = 3
 #: Of the exact pass: counters of shingles, most shingles carried with a row, rows compared with as many others at once.
 COUNTERS, CARRIED, BLOCK = 1 << 18, 256, 2000
+#: Parts in which the driver fetches the counters.
+FETCHED = 4
 KEY = 1 + 4 * DEPTH
 
 _rng = np.random.default_rng(20)
@@ -299,7 +301,8 @@ def settle(scratch: Scratch, members: DataFrame, gathered: DataFrame, words: int
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = scratch.keep(gathered.join(members.hint("merge"), "id").select("id", "comp", "text"))
     count = np.zeros(COUNTERS, np.int64)
-    for r in src.select("text").mapInArrow(tidy(tally(words)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+    tallied = src.select("text").mapInArrow(tidy(tally(words)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    for r in tallied.coalesce(FETCHED).toLocalIterator():  # COUNTERS rows at most; each part is a job of the driver
         count[r["at"]] = r["n"]
     shared = spark.sparkContext.broadcast(count)
     held = scratch.keep(src.mapInArrow(tidy(rarest(words, over, shared)), "id long, comp long, n long, s array<long>, c binary"))

@@ -203,3 +203,35 @@ def test_counts_of_documents_are_never_too_few(spark):
     counts, n = d.frequencies(spark.createDataFrame(rows, DOCS))
     assert n == 501 and counts[d.counter(b"a")] == counts[d.counter(b"b")] == 500
     assert all(counts[d.counter(b"d%d" % k)] >= 1 for k in range(500)) and counts.sum() <= 500 * 4
+
+
+def test_the_driver_fetches_in_few_jobs(spark):
+    """Where no parts of a shuffle are joined, the driver still starts no job for each part of it."""
+    from spindle.llm import decontamination as d
+
+    rng = random.Random(39)
+    items = [(k, brute.sentence(rng, 30)) for k in range(60)]
+    rows = [(k, items[k][1] if k < 5 else brute.sentence(rng, 40)) for k in range(40)]
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        began = jobs()
+        out = d.leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["id"], r["item"]) for r in out) == [(k, k) for k in range(5)]
+    assert jobs() - began < 64  # 64 parts were fetched one by one: for the items, and in each of three rounds
+
+
+def test_leading_columns_in_place():
+    from spindle.llm import decontamination as d
+
+    x = np.random.default_rng(40).standard_normal((1000, 12)).astype(np.float32)
+    for rank, step in ((12, 100), (7, 64), (1, 4096)):
+        y = x.copy()
+        got = d.leading(y, rank, step)
+        assert (got == x[:, :rank]).all() and got.flags.c_contiguous and np.shares_memory(got, y)
