@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import time
@@ -12,6 +13,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,19 @@ def release() -> None:
         trim(0)
 
 
+def release_driver(spark: SparkSession) -> None:
+    """Give memory that the driver's JVM has freed back to the system: its hundreds of threads take native memory from the
+    C library's arenas, which keep what is freed. A JVM that can't do this is left as it is."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    # by the interface: the server's own class is closed to reflection
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    args = gateway.new_array(jvm.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    with contextlib.suppress(Py4JJavaError):
+        invoke.invoke(server, args)
+
+
 def tidy(f: Callable) -> Callable:
     """A mapInArrow function that gives its memory back to the system when it ends: workers outlive their tasks."""
 
@@ -73,6 +88,7 @@ class Scratch:
             df = df.coalesce(max(FILES, -(-rows // FILE_ROWS)))
         path, schema = f"{self.root}/{self.count}", df.schema
         df.write.options(compression="zstd", **PLAIN).parquet(path)
+        release_driver(self.spark)
         out = self.spark.read.schema(schema).parquet(path)
         out._spindle_path = path
         return out
@@ -98,6 +114,7 @@ class Scratch:
             held = now
             if not held or idle >= 3:
                 break
+        release_driver(self.spark)
 
 
 class WordHash(dict):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch, mix, release, tidy, union
+from .common import Scratch, batch, mix, release, release_driver, tidy, union
 
 #: Items of a block; latent dimensions; words of passages (an item takes the largest that it fills).
 BLOCK, RANK, WIDTHS = 2000, 192, (16, 32, 64)
@@ -121,6 +121,7 @@ def randomised_basis(spark, vectors: list[tuple[np.ndarray, np.ndarray]], size:
         x = None  # the driver holds one of x and y
         release()
         spark.sparkContext._jvm.System.gc()  # and its JVM little of the round before
+        release_driver(spark)
 
         def share(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             x = shared.value
@@ -497,6 +498,7 @@ def search(spark, src: DataFrame, block: list, idf: np.ndarray) -> DataFrame:
     shared = spark.sparkContext.broadcast({"own": own, "scale": weight, "basis": basis, "passages": by_width, "items": marks, "cosine": COSINE})
     del basis, vectors, others
     release()
+    release_driver(spark)
     return found.mapInArrow(tidy(searcher(shared)), "id long, item long, cosine double, share double")
 
 

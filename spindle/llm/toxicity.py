@@ -23,7 +23,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts, tidy, union
+from .common import batch, release_driver, texts, tidy, union
 
 WINDOW = 10
 #: Bytes of the ordinary dictionary and of the toxic one.
@@ -194,6 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, most: int = 20
         found.append(mine.orderBy("h", "text").limit(sample))
     both = union(found).coalesce(1).sortWithinPartitions(F.desc("toxic"), "h", "text").select("toxic", "text")
     fitted = both.mapInArrow(tidy(fitter(prior)), "model binary").first()
+    release_driver(docs.sparkSession)
     return (pickle.loads(fitted[0]) if fitted else None), prior
 
 

@@ -69,6 +69,34 @@ def test_components_of_chains_and_stars(spark):
     assert {n: got.get(n, n) for n in nodes} == want
 
 
+def test_the_drivers_jvm_gives_freed_memory_back(spark):
+    """What is freed between blocks in use stays with the C library; a table that is kept gives it back to the system."""
+    from spindle.llm.common import Scratch
+
+    jvm, size = spark.sparkContext._jvm, 60_000
+    native, pid = jvm.org.apache.spark.unsafe.Platform, jvm.java.lang.ProcessHandle.current().pid()
+
+    def held() -> float:
+        with open(f"/proc/{pid}/status") as lines:
+            return next(int(x.split()[1]) for x in lines if x.startswith("VmRSS")) / 1024
+
+    scratch, few = Scratch(spark), spark.range(10)
+    for _ in range(3):
+        assert scratch.keep(few).count() == 10  # code is loaded
+    blocks = [native.allocateMemory(size) for _ in range(4000)]
+    for x in blocks[1:]:
+        native.copyMemory(None, blocks[0], None, x, size)
+    kept = blocks[::40]
+    for x in sorted({*blocks} - {*kept}):
+        native.freeMemory(x)
+    before = held()
+    scratch.keep(few)
+    after = held()
+    for x in kept:
+        native.freeMemory(x)
+    assert before - after > 60  # of 220 MB
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><script>var a = "</p>";</script></head><body><nav><ul><li>Menu</li></ul></nav>
 <div class="ad">Buy</div><article><h1>Head</h1><p>One&nbsp;two <b>bold</b>text<br>next<p>Second &lt;p&gt;<div id="comments"><p>reader</p></div></article>
 <aside>side</aside><footer>foot</footer></body></html>"""
